@@ -38,7 +38,7 @@ def struct(**fields: str) -> str:
     return "named_struct(" + ", ".join(f"{q(n)}, {e}" for n, e in fields.items()) + ")"
 
 
-def let_struct(body: Callable[[str], str], **fields: str) -> str:
+def let_struct(body: Callable[[str], str], /, **fields: str) -> str:
     """``let`` for several values, read as ``v.name``."""
     return let(struct(**fields), body)
 

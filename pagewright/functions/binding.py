@@ -52,5 +52,5 @@ def apply_text(body: Callable[..., str], *args: Column | str) -> Column:
     argument, each argument being evaluated once."""
     v = fresh()
     names = [f"{v}.a{i}" for i in range(len(args))]
-    packed = F.struct(*[as_col(a).alias(f"a{i}") for i, a in enumerate(args)])
+    packed = F.named_struct(*[x for i, a in enumerate(args) for x in (F.lit(f"a{i}"), as_col(a))])
     return F.call_function("transform", F.array(packed), F.expr(f"{v} -> {body(*names)}")).getItem(0)

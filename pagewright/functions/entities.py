@@ -8,7 +8,7 @@ from html.entities import html5
 
 from pyspark.sql import Column
 
-from .binding import apply_text, let, q
+from .binding import apply_text, let, let_struct, q
 
 _PIECE = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[^\t\n\f <&#;]{1,32};?)|[^&]++|&"
 # Names that also count without a final semicolon, longest first.
@@ -20,7 +20,7 @@ _BARE = r"^&(" + "|".join(
 @lru_cache(maxsize=1)
 def _names_sql() -> str:
     # folded to one map literal by the optimizer
-    return f"from_json({q(json.dumps(html5))}, 'map<string,string>')"
+    return f"from_json({q(json.dumps(html5, ensure_ascii=False))}, 'map<string,string>')"
 
 
 @lru_cache(maxsize=1)
@@ -47,32 +47,32 @@ def _code_point_sql(n: str) -> str:
 def unescape_sql(text: str) -> str:
     """Decode character references the way HTML attribute values are decoded."""
 
-    def number(digits: str, base: int) -> str:
-        # more than eight significant digits are beyond Unicode in any base
-        kept = let(
-            f"ltrim('0', {digits})",
-            lambda d: f"if(length({d}) > 8, 4294967295L, cast(conv(concat('0', {d}), {base}, 10) as bigint))",
-        )
-        return let(kept, _code_point_sql)
-
-    def piece(p: str) -> str:
+    def piece(names: str, p: str) -> str:
         bare = let(
             f"regexp_extract({p}, {q(_BARE)}, 1)",
-            lambda n: f"if({n} = '', {p}, concat({_names_sql()}[{n}], substring({p}, length({n}) + 2)))",
+            lambda n: f"if({n} = '', {p}, concat({names}[{n}], substring({p}, length({n}) + 2)))",
+        )
+        digits = f"regexp_extract({p}, '^&#[xX]?([0-9a-fA-F]+)', 1)"
+        value = let_struct(
+            lambda v: let(
+                # more than eight significant digits are beyond Unicode in any base
+                f"if(length({v}.digits) > 8, 4294967295L, cast(conv(concat('0', {v}.digits), {v}.base, 10) as bigint))",
+                _code_point_sql,
+            ),
+            digits=f"ltrim('0', {digits})",
+            base=f"if(rlike({p}, '^&#[xX]'), 16, 10)",
         )
-        decimal = f"regexp_extract({p}, '^&#([0-9]+)', 1)"
-        hexadecimal = f"regexp_extract({p}, '^&#[xX]([0-9a-fA-F]+)', 1)"
         return (
             f"case when not startswith({p}, '&') or {p} = '&' then {p} "
-            f"when rlike({p}, '^&#[0-9]') then {number(decimal, 10)} "
-            f"when rlike({p}, '^&#[xX][0-9a-fA-F]') then {number(hexadecimal, 16)} "
-            f"else coalesce({_names_sql()}[substring({p}, 2)], {bare}) end"
+            f"when rlike({p}, '^&#(?:[0-9]|[xX][0-9a-fA-F])') then {value} "
+            f"else coalesce({names}[substring({p}, 2)], {bare}) end"
         )
 
-    return (
-        f"if(contains({text}, '&'), array_join(transform("
-        f"regexp_extract_all({text}, {q(_PIECE)}, 0), p -> {piece('p')}), ''), {text})"
+    decoded = let(
+        _names_sql(),
+        lambda names: f"array_join(transform(regexp_extract_all({text}, {q(_PIECE)}, 0), p -> {piece(names, 'p')}), '')",
     )
+    return f"if(contains({text}, '&'), {decoded}, {text})"
 
 
 def escape_attr_sql(text: str) -> str:

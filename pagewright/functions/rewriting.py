@@ -1,15 +1,20 @@
-"""Rewriting of one document as expressions.
-
-A document becomes ``parts``, an array in which every third string is plain
-text: ``text, reference, url, text, reference, url, ..., text``.  Page links are
-already replaced in the text, being functions of the page alone.  Assets are
-left open: whether one is replaced depends on a table of captured assets, and
-``fill_sql`` closes the gaps once the answers are known, in order.
+"""Rewriting of one document, in three steps.
+
+1. ``page_pieces_sql`` cuts a document into pieces ``(pre, kind, raw, ref,
+   post)``.  Plain text has kind '' and sits in ``raw``.  For a reference,
+   ``raw`` is its original text and ``pre + new value + post`` its replacement.
+2. ``joined_pieces_sql`` adds the canonical URL of every reference.
+3. ``parts_sql`` replaces page links, which are functions of the page alone,
+   and leaves assets open, because whether one is replaced depends on a table
+   of captured assets.  The result is an array that repeats ``text, raw, pre,
+   post, url``; ``fill_sql`` closes the gaps once the answers are known.
+
+The steps are separate projections, which keeps each expression shallow.
 """
 
 from __future__ import annotations
 
-from .binding import let, let_struct, q
+from .binding import let, let_struct, q, struct
 from .css import URL_PIECES, is_ref_sql, ref_parts_sql, sheet_pieces_re
 from .entities import escape_attr_sql, unescape_sql
 from .html import PIECE_RE, after_name_sql, attr_name_sql, attr_raw_sql, head_sql, tag_name_sql, tokens_sql, unquote_sql
@@ -22,151 +27,171 @@ _TOUCHED = (
     r"|^<[a-z][^\s/>]*+[\s/].*?style"
 )
 _RAW_NAME = r"(?s)^[^\s/>][^\s/=>]*+"
+# Kinds: L link attribute, B button, A asset attribute, C style text, E style
+# text inside an attribute.
+_PIECE_TYPE = "array<struct<pre string, kind string, raw string, ref string, post string>>"
+CYCLE = 5
 
 
-def _mark_sql(mark: str, kind: str, raw: str, url: str) -> str:
-    return f"{mark}, {q(kind)}, {raw}, {mark}, {url}, {mark}"
+def _piece(raw: str, kind: str = "''", ref: str = "''", pre: str = "''", post: str = "''") -> str:
+    return struct(pre=pre, kind=kind, raw=raw, ref=ref, post=post)
 
 
-def _css_sql(text: str, pieces_re: str, kind: str, base: str, mark: str, wanted) -> str:
-    """Style text with its wanted references marked."""
-    entities = kind == "E"
+def _css_pieces(text: str, pieces_re: str, kind: str) -> str:
+    """Pieces of style text."""
 
-    def piece(p: str) -> str:
+    def piece(c: str) -> str:
         def ref(v: str) -> str:
-            decoded = unescape_sql(f"{v}.ref") if entities else f"{v}.ref"
-            target = f"if({v}.ref = '' or contains({v}.ref, {q(chr(10))}), null, {normalize_sql(base, f'{v}.ref')})"
-            if entities:
-                target = let(
-                    decoded,
-                    lambda d: f"if({d} = '' or contains({d}, {q(chr(10))}), null, {normalize_sql(base, d)})",
-                )
-            marked = f"concat({v}.lead, {_mark_sql(mark, kind, f'{v}.ref', 'u')}, {v}.trail)"
-            return f"transform(array({target}), u -> if(u is not null and {wanted('u')}, {marked}, {p}))[0]"
-
-        return f"if({is_ref_sql(p)}, {let(ref_parts_sql(p, entities), ref)}, {p})"
-
-    marked = f"array_join(transform(regexp_extract_all({text}, {q(pieces_re)}, 0), p -> {piece('p')}), '')"
-    return f"if(contains({text}, 'url('), {marked}, {text})"
+            decoded = unescape_sql(f"{v}.ref") if kind == "E" else f"{v}.ref"
+            held = f"if({v}.ref = '' or contains({v}.ref, {q(chr(10))}), '', {q(kind)})"
+            return _piece(c, held, decoded, f"{v}.lead", f"{v}.trail")
 
+        return f"if({is_ref_sql(c)}, {let(ref_parts_sql(c, kind == 'E'), ref)}, {_piece(c)})"
 
-def page_parts_sql(
-    url: str, html: str, root_dir: str, root: str, mode: str, links: bool, static: bool, styles: bool
-) -> str:
-    """``parts`` of a page.  The marked references do not depend on ``links``."""
+    return f"transform(regexp_extract_all({text}, {q(pieces_re)}, 0), c -> {piece('c')})"
 
-    def wanted(u: str) -> str:
-        return f"{is_http_sql(u)} and {same_domain_sql(root, u, mode)}"
-
-    def local(ctx: str, target: str) -> str:
-        return relative_sql(f"{ctx}.start", target)
-
-    def new_link(ctx: str, target: str) -> str:
-        """Replacement of a page link; NULL keeps the attribute."""
-        inside = let(local_path_sql(root_dir, "n"), lambda t: local(ctx, t))
-        return (
-            f"transform(array({normalize_sql(f'{ctx}.base', target)}), n -> "
-            f"if({same_domain_sql(root, 'n', mode)}, {inside}, n))[0]"
-        )
 
-    def attribute(ctx: str, name: str, p: str) -> str:
+def page_pieces_sql(html: str, links: bool, static: bool, styles: bool) -> str:
+    def attribute(name: str, p: str) -> str:
         def named(v: str) -> str:
-            raw_name = f"regexp_extract({p}, {q(_RAW_NAME)}, 0)"
+            decoded = f"{v}.value"
+            opening = f"concat({v}.name, '=\"')"
             cases = []
             if links:
-                value = let(f"{v}.raw", lambda r: let(unquote_sql(r), unescape_sql))
-                target = let(value, lambda x: f"if({v}.attr = 'onclick', {button_target_sql(x)}, {x})")
-
-                def put(new: str) -> str:
-                    text = f"if({v}.attr = 'onclick', concat('location.href=\\'', {new}, '\\''), {new})"
-                    return f"if({new} is null, {p}, concat({raw_name}, '=\"', {let(text, escape_attr_sql)}, '\"'))"
-
                 spot = (
                     f"({name} = 'a' and {v}.attr = 'href') or ({name} = 'form' and {v}.attr = 'action') "
-                    f"or ({name} = 'button' and {v}.attr = 'onclick') "
                     f"or ({name} in ('video', 'audio', 'source') and {v}.attr = 'src')"
                 )
-                replaced = let(let(target, lambda x: new_link(ctx, x)), put)
-                cases.append(f"when {spot} then {replaced}")
+                one = _piece(p, "'L'", decoded, opening, "'\"'")
+                cases.append(f"when {spot} then array({one})")
+                target = let(decoded, button_target_sql)
+                button = let(
+                    target,
+                    lambda x: f"if({x} is null, {_piece(p)}, "
+                    + _piece(p, "'B'", x, f"concat({opening}, 'location.href=\\'')", "'\\'\"'")
+                    + ")",
+                )
+                cases.append(f"when {name} = 'button' and {v}.attr = 'onclick' then array({button})")
             if static:
                 spot = (
                     f"(({name} in ('img', 'script') and {v}.attr = 'src') or ({name} = 'link' and {v}.attr = 'href')) "
                     f"and {v}.raw <> ''"
                 )
-                value = let(f"{v}.raw", lambda r: let(unquote_sql(r), unescape_sql))
-                target = let(value, lambda x: normalize_sql(f"{ctx}.base", x))
-                marked = f"concat({raw_name}, '=', {_mark_sql(f'{ctx}.mark', 'A', f'{v}.raw', 'u')})"
-                cases.append(
-                    f"when {spot} then transform(array({target}), u -> "
-                    f"if(u is not null and {wanted('u')}, {marked}, {p}))[0]"
-                )
+                one = _piece(p, "'A'", decoded, opening, "'\"'")
+                cases.append(f"when {spot} then array({one})")
             if styles:
                 quote = f"if(rlike({v}.raw, '^[\"\\']'), '', '\"')"
-                text = _css_sql(f"{v}.raw", URL_PIECES, "E", f"{ctx}.base", f"{ctx}.mark", wanted)
+                text = _css_pieces(f"{v}.raw", URL_PIECES, "E")
                 cases.append(
                     f"when {v}.attr = 'style' and contains({v}.raw, 'url(') then "
-                    f"concat({raw_name}, '=', {quote}, {text}, {quote})"
+                    f"concat(array({_piece(f'concat({v}.name, {q("=")}, {quote})')}), {text}, array({_piece(quote)}))"
                 )
-            return f"case {' '.join(cases)} else {p} end"
-
-        return let_struct(named, attr=attr_name_sql(p), raw=attr_raw_sql(p))
+            return f"case {' '.join(cases)} else array({_piece(p)}) end" if cases else f"array({_piece(p)})"
+
+        return let(
+            attr_raw_sql(p),
+            lambda raw: let_struct(
+                named,
+                attr=attr_name_sql(p),
+                name=f"regexp_extract({p}, {q(_RAW_NAME)}, 0)",
+                raw=raw,
+                value=let(unquote_sql(raw), unescape_sql),
+            ),
+        )
 
-    def token(ctx: str, t: str) -> str:
-        def rebuilt(v: str) -> str:
+    def token(t: str) -> str:
+        def cut(v: str) -> str:
             opening = f"substring({v}.head, 1, length({v}.head) - length({v}.rest))"
-            pieces = f"transform(regexp_extract_all({v}.rest, {q(PIECE_RE)}, 0), p -> {attribute(ctx, f'{v}.name', 'p')})"
+            pieces = (
+                f"flatten(transform(regexp_extract_all({v}.rest, {q(PIECE_RE)}, 0), "
+                f"p -> {attribute(f'{v}.name', 'p')}))"
+            )
             tail = f"substring({t}, length({v}.head) + 1)"
+            end = f"array({_piece(tail)})"
             if styles:
-                body = _css_sql(tail, URL_PIECES, "C", f"{ctx}.base", f"{ctx}.mark", wanted)
-                tail = f"if({v}.name = 'style', {body}, {tail})"
-            return f"if({v}.head = '', {t}, concat({opening}, array_join({pieces}, ''), {tail}))"
+                block = f"{v}.name = 'style' and contains({t}, 'url(')"
+                end = f"if({block}, {_css_pieces(tail, URL_PIECES, 'C')}, {end})"
+            return f"if({v}.head = '', array({_piece(t)}), concat(array({_piece(opening)}), {pieces}, {end}))"
 
         def parsed(v: str) -> str:
-            return let_struct(rebuilt, name=f"{v}.name", head=f"{v}.head", rest=after_name_sql(f"{v}.head"))
+            return let_struct(cut, name=f"{v}.name", head=f"{v}.head", rest=after_name_sql(f"{v}.head"))
 
         whole = let_struct(parsed, name=tag_name_sql(t), head=head_sql(t))
         closed = f"(endswith({t}, '>') or rlike({t}, '(?i)^<s(?:cript|tyle)[\\\\s/>]'))"
-        return f"if(rlike({t}, {q(_TOUCHED)}) and {closed}, {whole}, {t})"
+        return f"if(rlike({t}, {q(_TOUCHED)}) and {closed}, {whole}, array({_piece(t)}))"
+
+    return f"cast(flatten(transform({tokens_sql(html)}, t -> {token('t')})) as {_PIECE_TYPE})"
+
+
+def sheet_pieces_sql(content: str, nested: bool) -> str:
+    return f"cast({_css_pieces(content, sheet_pieces_re(nested), 'C')} as {_PIECE_TYPE})"
+
+
+def joined_pieces_sql(pieces: str, url: str) -> str:
+    """Pieces with ``url``, the canonical form of ``ref`` (NULL for text)."""
 
-    def marked(ctx: str) -> str:
-        text = f"array_join(transform({tokens_sql(html)}, t -> {token(ctx, 't')}), '')"
-        return f"split({text}, {ctx}.mark)"
+    def one(base: str) -> str:
+        target = f"if(p.kind = '', null, {let('p.ref', lambda r: normalize_sql(base, r))})"
+        moved = ", ".join(f"{q(n)}, p.{n}" for n in ("pre", "kind", "raw", "post"))
+        return f"transform({pieces}, p -> named_struct({moved}, 'url', {target}))"
+
+    return let(base_sql(url), one)
+
+
+def _open(mark: str) -> str:
+    return f"concat({mark}, p.kind, p.raw, {mark}, p.pre, {mark}, p.post, {mark}, p.url, {mark})"
+
+
+def page_parts_sql(pieces: str, url: str, html: str, root_dir: str, root: str, mode: str) -> str:
+    def text(ctx: str) -> str:
+        local = let(local_path_sql(root_dir, "p.url"), lambda t: relative_sql(f"{ctx}.start", t))
+        value = let(f"if({same_domain_sql(root, 'p.url', mode)}, {local}, p.url)", escape_attr_sql)
+        asset = f"{is_http_sql('p.url')} and {same_domain_sql(root, 'p.url', mode)}"
+        one = (
+            "case when p.url is null then p.raw "
+            f"when p.kind in ('L', 'B') then concat(p.pre, {value}, p.post) "
+            f"when {asset} then {_open(f'{ctx}.mark')} else p.raw end"
+        )
+        return f"split(array_join(transform({pieces}, p -> {one}), ''), {ctx}.mark)"
 
     own = let(local_path_sql(root_dir, url), lambda p: start_sql(parent_folder_sql(p)))
-    # a hash of the document cannot occur in it by accident
-    mark = f"concat({q(chr(0))}, sha2({html}, 256))"
-    return let_struct(marked, base=base_sql(url), start=own, mark=mark)
+    return let_struct(text, start=own, mark=mark_sql(html))
 
 
-def sheet_parts_sql(url: str, content: str, nested: bool) -> str:
-    """``parts`` of a style sheet; references of any domain."""
+def sheet_parts_sql(pieces: str, content: str) -> str:
+    def text(mark: str) -> str:
+        one = f"if(p.url is null or startswith(p.url, 'data:'), p.raw, {_open(mark)})"
+        return f"split(array_join(transform({pieces}, p -> {one}), ''), {mark})"
 
-    def wanted(u: str) -> str:
-        return f"not startswith({u}, 'data:')"
+    return let(mark_sql(content), text)
 
-    def marked(ctx: str) -> str:
-        text = _css_sql(content, sheet_pieces_re(nested), "C", f"{ctx}.base", f"{ctx}.mark", wanted)
-        return f"split({text}, {ctx}.mark)"
 
-    mark = f"concat({q(chr(0))}, sha2({content}, 256))"
-    return let_struct(marked, base=base_sql(url), mark=mark)
+def mark_sql(document: str) -> str:
+    """Separator of parts: a hash of the document cannot occur in it by
+    accident."""
+    return f"concat({q(chr(0))}, sha2({document}, 256))"
 
 
 def open_urls_sql(parts: str) -> str:
-    """URLs of the marked references, in order."""
-    return f"filter(transform({parts}, (p, i) -> if(i % 3 = 2, p, null)), p -> p is not null)"
+    """URLs of the open references, in order."""
+    return f"filter(transform({parts}, (p, i) -> if(i % {CYCLE} = {CYCLE - 1}, p, null)), p -> p is not null)"
 
 
 def fill_sql(parts: str, paths: str) -> str:
-    """The document, each reference replaced where ``paths`` has an answer."""
+    """The document, each open reference replaced where ``paths`` has an
+    answer."""
 
-    def one(p: str, n: str) -> str:
+    def one(n: str) -> str:
         attr = escape_attr_sql(n)
-        return (
-            f"case when {n} is null then substring({p}, 2) when startswith({p}, 'A') then concat('\"', {attr}, '\"') "
-            f"when startswith({p}, 'E') then replace({attr}, '\\'', '&#39;') else {n} end"
+        value = (
+            f"case when startswith(p, 'A') then {attr} "
+            f"when startswith(p, 'E') then replace({attr}, '\\'', '&#39;') else {n} end"
         )
+        after = f"concat({{0}}[i + 1], {value}, {{0}}[i + 2])"
+        return f"if({n} is null, substring(p, 2), {after})"
 
-    answer = let(f"get({paths}, cast(i div 3 as int))", lambda n: one("p", n))
-    return f"array_join(transform({parts}, (p, i) -> case i % 3 when 0 then p when 1 then {answer} else '' end), '')"
+    def joined(ps: str) -> str:
+        answer = let(f"get({paths}, cast(i div {CYCLE} as int))", lambda n: one(n).replace("{0}", ps))
+        return f"array_join(transform({ps}, (p, i) -> case i % {CYCLE} when 0 then p when 1 then {answer} else '' end), '')"
 
+    return let(parts, joined)

@@ -11,7 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import local_path, parent_folder, relative_path
-from ..functions.rewriting import fill_sql, open_urls_sql, page_parts_sql, sheet_parts_sql
+from ..functions.rewriting import (
+    fill_sql,
+    joined_pieces_sql,
+    open_urls_sql,
+    page_parts_sql,
+    page_pieces_sql,
+    sheet_parts_sql,
+    sheet_pieces_sql,
+)
 from .links import css_resources
 from .lookup import lookup
 
@@ -52,27 +60,27 @@ def rewrite_pages(
     """
     assets = resource_map is not None and (rewrite_static or rewrite_styles)
 
-    def parts(with_links: bool):
-        return F.expr(
-            page_parts_sql(
-                "url", "html", root_dir, root, mode, with_links, assets and rewrite_static, assets and rewrite_styles
-            )
-        )
+    def parts(with_links: bool) -> DataFrame:
+        """``(page_id, url, parts)``; open references do not depend on links."""
+        pieces = page_pieces_sql("html", with_links, assets and rewrite_static, assets and rewrite_styles)
+        cut = pages.select("page_id", "url", "html", F.expr(pieces).alias("pieces"))
+        joined = cut.select("page_id", "url", "html", F.expr(joined_pieces_sql("pieces", "url")).alias("pieces"))
+        text = page_parts_sql("pieces", "url", "html", root_dir, root, mode)
+        return joined.select("page_id", "url", F.expr(text).alias("parts"))
 
     placed = local_path(root_dir, "url").alias("local_path")
     if not assets:
-        return pages.select(
-            "page_id", "url", placed, F.array_join(parts(links), "").alias("html") if links else F.col("html")
-        )
-    marked = pages.select("page_id", "url", placed, parts(links).alias("parts"))
-    refs = pages.select("page_id", "url", parts(False).alias("parts")).select(
+        if not links:
+            return pages.select("page_id", "url", placed, "html")
+        return parts(True).select("page_id", "url", placed, F.array_join("parts", "").alias("html"))
+    refs = parts(False).select(
         F.col("page_id").alias("key"),
         parent_folder(local_path(root_dir, "url")).alias("folder"),
         F.posexplode(F.expr(open_urls_sql("parts"))).alias("k", "url"),
     )
     answers = _answers(refs, resource_map).withColumnRenamed("key", "page_id")
-    return marked.join(answers, "page_id", "left").select(
-        "page_id", "url", "local_path", F.expr(fill_sql("parts", "paths")).alias("html")
+    return parts(links).join(answers, "page_id", "left").select(
+        "page_id", "url", placed, F.expr(fill_sql("parts", "paths")).alias("html")
     )
 
 
@@ -100,9 +108,14 @@ def rewrite_css(
 ) -> DataFrame:
     """``(url, local_path, content)`` of the style sheets, references to
     captured assets made relative to the sheet's folder."""
-    sheets = css_resources(resources).select(
-        "url", F.sha2(F.concat_ws("\n", "url", "content"), 256).alias("key"),
-        F.expr(sheet_parts_sql("url", "content", nested)).alias("parts"),
+    cut = css_resources(resources).select(
+        "url", "content", F.expr(sheet_pieces_sql("content", nested)).alias("pieces")
+    )
+    joined = cut.select("url", "content", F.expr(joined_pieces_sql("pieces", "url")).alias("pieces"))
+    sheets = joined.select(
+        "url",
+        F.sha2(F.concat_ws("\n", "url", "content"), 256).alias("key"),
+        F.expr(sheet_parts_sql("pieces", "content")).alias("parts"),
     )
     refs = sheets.select(
         "key",

@@ -70,7 +70,8 @@ def test_whole_page_and_switches(spark):
     assert out(rewrite.rewrite_pages(df, m, "h.com")) == [full]
     assert out(rewrite.rewrite_static(df, m, "h.com")) == [html.replace('"/img/a.png"', '"../../img/a.png"')]
     assert out(rewrite.rewrite_styles(df, m, "h.com")) == [html.replace("(/img/a.png)", "(../../img/a.png)")]
-    row = rewrite.rewrite_pages(df, m, "h.com", root_dir="out").first()
+    inside = m.withColumn("local_path", F.concat(F.lit("out/"), "local_path"))
+    row = rewrite.rewrite_pages(df, inside, "h.com", root_dir="out").first()
     assert row.local_path == "out/h.com/en/25/index.html" and row.html == full
 
 

@@ -168,9 +168,14 @@ def j_seed(spark, d):
     return sitemaps.seed_frontier(f"https://{i.ROOT}", listing, maps, i.seen_sitemaps(spark, d), ["utm_"])
 
 
+def _text_time(state_rows):
+    """Times as text, the same in every session time zone."""
+    return state_rows.withColumn("last_fetched", F.date_format("last_fetched", "yyyy-MM-dd HH:mm:ss"))
+
+
 def j_enqueue(spark, d):
     found = links.link_set(i.pages(spark, d), i.ROOT).select(F.col("dst_url").alias("url"))
-    return frontier.enqueue(i.url_state(spark, d), found)
+    return _text_time(frontier.enqueue(i.url_state(spark, d), found))
 
 
 def j_classify(spark, d):
@@ -251,7 +256,8 @@ def a_mark_visited(spark, d):
     done = i.page_urls(spark, d).filter(F.col("url").contains("/en/")).select(
         urls.canonical_url("url").alias("url"), F.lit("saved").alias("outcome")
     )
-    return frontier.mark_visited(i.url_state(spark, d), done, AT)
+    at = F.lit(i.FETCHED).cast("timestamp")
+    return _text_time(frontier.mark_visited(i.url_state(spark, d), done, at))
 
 
 def a_next_batch(spark, d):

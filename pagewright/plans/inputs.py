@@ -16,6 +16,7 @@ from ..sources.readers import read_pages
 ROOT = "example.com"
 AGENT = "MirrorBot/1.0"
 STAMP = "2024-01-01 00:00:00"
+FETCHED = "2024-06-01 00:00:00"
 
 
 def _n(mod: int) -> str:

@@ -253,7 +253,8 @@ def _link_set(where: str = "") -> str:
 
 
 _CSS_BASE = "regexp_extract(url, '^(.*/)', 1)"
-_FETCHED = "timestamp '2024-06-01 00:00:00'"
+_FETCHED = f"timestamp '{i.FETCHED}'"
+_TEXT_TIME = "strftime(last_fetched, '%Y-%m-%d %H:%M:%S') as last_fetched"
 
 
 def oracles() -> dict[str, str]:
@@ -282,7 +283,9 @@ def oracles() -> dict[str, str]:
         f"{_host('url')} || '/en/img/' || page_id || '.png' as target from own) "
         f"select page_id, {_relative('target', 'folder')} as rel from p"
     )
-    o["u_entities"] = "select page_id, md5(replace(html, '&amp;', '&')) as text_md5 from pages"
+    decoded = "replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34))"
+    decoded = f"regexp_replace({decoded}, '&amp;?', '&', 'g')"
+    o["u_entities"] = f"select page_id, md5({decoded}) as text_md5 from pages"
     o["u_canonicalize"] = (
         f"with {_PAGES} select url, canonical, regexp_extract(canonical, '^([a-z]+):', 1) as scheme, {_host('canonical')} as host, "
         "regexp_extract(canonical, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(canonical, '\\?(.*)$', 1) as query, "
@@ -335,7 +338,7 @@ def oracles() -> dict[str, str]:
         f"and ends_with({_host('url')}, '{ROOT}') and not contains(url, 'utm_')"
     )
     o["j_enqueue"] = (
-        f"with {_link_set()}, {_STATE_ROWS} select url, status, last_fetched, level, outcome from state union all "
+        f"with {_link_set()}, {_STATE_ROWS} select url, status, {_TEXT_TIME}, level, outcome from state union all "
         "select dst_url, 'pending', null, null, null from (select distinct dst_url from targets) where dst_url not in (select url from state)"
     )
     o["j_classify"] = (
@@ -387,9 +390,10 @@ def oracles() -> dict[str, str]:
     o["a_canon_forms"] = f"with {_FORMS} select canonical, form from forms where canonical in (select canonical from dups)"
     o["a_mark_visited"] = (
         f"with {_STATE_ROWS}, done as (select distinct {_canon('url')} as url from pages where contains(url, '/en/')) "
-        f"select s.url, case when d.url is not null then 'visited' else status end as status, "
+        f", m as (select s.url, case when d.url is not null then 'visited' else status end as status, "
         f"case when d.url is not null then {_FETCHED} else last_fetched end as last_fetched, level, "
-        "case when d.url is not null then 'saved' else outcome end as outcome from state s left join done d on d.url = s.url"
+        "case when d.url is not null then 'saved' else outcome end as outcome from state s left join done d on d.url = s.url) "
+        f"select url, status, {_TEXT_TIME}, level, outcome from m"
     )
     o["a_next_batch"] = f"with {_STATE_ROWS} select url, level from state where status = 'pending' order by level, url limit 50"
     o["a_schedule"] = (

@@ -310,7 +310,8 @@ def oracles() -> dict[str, str]:
             f"select url as css_url, raw, {_absolute()} as dst_url from r"
         )
     o["x_title"] = (
-        "select page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) as title from pages"
+        "select page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), "
+        "'&amp;?', '&', 'g'), '\\s+', ' ', 'g')) as title from pages"
     )
     o["x_interstitial"] = "select page_id, page_id % 7 = 2 as interstitial from pages"
     o["x_sitemap"] = f"with {_MAPS} select sitemap_url, loc from locs"

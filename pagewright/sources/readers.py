@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions.urls import file_ext
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -65,20 +66,28 @@ def read_sitemaps(spark: SparkSession, path: str, base_url: str | None = None) -
     )
 
 
+def _text(url: str) -> Column:
+    """Bytes as text: style sheets always (broken bytes replaced), other
+    assets only where they are text, else NULL."""
+    raw = "cast(content as string)"
+    return F.when(file_ext(url) == ".css", F.expr(f"make_valid_utf8({raw})")).otherwise(
+        F.expr(f"try_validate_utf8({raw})")
+    )
+
+
 def read_resources(spark: SparkSession, path: str, base_url: str | None = None) -> DataFrame:
     """``url, content_type, content``: a parquet table whose content is text or
     bytes, or a folder of files that mirrors ``base_url``."""
     if base_url is None:
         df = spark.read.parquet(path)
         if isinstance(df.schema["content"].dataType, T.BinaryType):
-            df = df.withColumn("content", F.expr("try_validate_utf8(cast(content as string))"))
+            df = df.withColumn("content", _text("url"))
         return df.select("url", "content_type", "content")
     root = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     place = F.substring_index("path", root + "/", -1)
     kind = F.when(F.lower("path").endswith(".css"), F.lit("text/css")).otherwise(F.lit("application/octet-stream"))
-    return files.select(
-        F.concat(F.lit(base_url.rstrip("/") + "/"), place).alias("url"),
-        kind.alias("content_type"),
-        F.expr("try_validate_utf8(cast(content as string))").alias("content"),
+    named = files.select(
+        F.concat(F.lit(base_url.rstrip("/") + "/"), place).alias("url"), kind.alias("content_type"), "content"
     )
+    return named.withColumn("content", _text("url"))

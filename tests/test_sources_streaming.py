@@ -37,9 +37,9 @@ def test_text_sources(spark, tmp_path):
     found = {x.url: x.content_type for x in readers.read_resources(spark, str(tmp_path), "http://h.com").collect()}
     assert found["http://h.com/css/s.css"] == "text/css" and len(found) == 3
     out = str(tmp_path / "r.parquet")
-    spark.createDataFrame([("u", "image/png", bytearray(b"\xff\xfe")), ("v", "text/css", bytearray(b"a"))],
+    spark.createDataFrame([("u", "image/png", bytearray(b"\xff\xfe")), ("v.css", "text/css", bytearray(b"a\xff"))],
                           "url string, content_type string, content binary").write.parquet(out)
-    assert rows(readers.read_resources(spark, out)) == [("u", "image/png", None), ("v", "text/css", "a")]
+    assert rows(readers.read_resources(spark, out)) == [("u", "image/png", None), ("v.css", "text/css", "a\ufffd")]
 
 
 def test_versions_are_seen_only_once_committed(spark, tmp_path):

@@ -9,6 +9,8 @@ uses constant stack.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 
 from .binding import apply_text, let, q, struct
@@ -20,17 +22,14 @@ _ATTR = rf"{_NAME}(?:\s*+=++\s*+{_VALUE}?+)?+"
 _ATTRS = rf"(?:[\s/]++|{_ATTR})*+"
 _OPEN = rf"(?:[\s/]{_ATTRS})?+"
 
-TOKEN_RE = (
-    "(?is)<!--.*?(?:--(?:!|\\s*+)>|\\z)"
-    rf"|<script{_OPEN}(?<!/)>.*?(?:</script[^>]*+>|\z)"
-    rf"|<style{_OPEN}(?<!/)>.*?(?:</style[^>]*+>|\z)"
-    rf"|<[a-z][^\s/>]*+{_OPEN}(?:>|\z)"
-    r"|<!\[cdata\[.*?(?:\]\]>|\z)"
-    r"|<[/!?][^>]*+(?:>|\z)"
-    r"|[^<]++|<"
-)
-# A lossless split of what follows the tag name.
-PIECE_RE = rf"(?s){_ATTR}|[\s/>]++"
+_COMMENT = r"<!--.*?(?:--(?:!|\s*+)>|\z)"
+_SCRIPT = rf"<script{_OPEN}(?<!/)>.*?(?:</script[^>]*+>|\z)"
+_STYLE = rf"<style{_OPEN}(?<!/)>.*?(?:</style[^>]*+>|\z)"
+_TAG = rf"<[a-z][^\s/>]*+{_OPEN}(?:>|\z)"
+_CDATA = r"<!\[cdata\[.*?(?:\]\]>|\z)"
+_OTHER = r"<[/!?][^>]*+(?:>|\z)"
+
+TOKEN_RE = "(?is)" + "|".join([_COMMENT, _SCRIPT, _STYLE, _TAG, _CDATA, _OTHER, r"[^<]++", "<"])
 ATTR_RE = rf"(?s){_ATTR}"
 _ATTR_NAME = rf"(?s)^({_NAME})"
 _ATTR_RAW = rf"(?s)^{_NAME}\s*+=++\s*+(.*+)"
@@ -40,6 +39,48 @@ _RAW_TEXT = r"(?i)^<(?:script|style)(?:[\s/]|>)"
 _RAW_CLOSE = r"(?i)</(?:script|style)[^>]*+>?\z"
 
 
+def _kept(attrs: Iterable[str]) -> str:
+    """Lookahead for one of the attributes; a name ending in '-' is a prefix."""
+    return "(?:" + "|".join(sorted(a if a.endswith("-") else rf"{a}[\s=/>]" for a in attrs)) + ")"
+
+
+def sparse_re(tags: Iterable[str], attrs: Iterable[str], blocks: bool) -> str:
+    """Lossless split into tokens of interest (group 1) and runs of all others.
+
+    Of interest are tags called one of ``tags``, tags with one of ``attrs``
+    and, with ``blocks``, scripts and style sheets.  Far fewer strings leave
+    the matcher than from ``TOKEN_RE``.
+    """
+    tags, attrs = sorted(tags), sorted(attrs)
+    named = "|".join([*tags, *(["script", "style"] if blocks else [])])
+    skip_tag = rf"(?!(?:{named})[\s/>])" if named else ""
+    skip_attr = f"(?!{_kept(attrs)})" if attrs else ""
+    plain = rf"<{skip_tag}[a-z][^\s/>]*+(?:[\s/]++|{skip_attr}{_ATTR})*+(?:>|\z)"
+    runs = [r"[^<]++", *([] if blocks else [_SCRIPT, _STYLE]), plain, _COMMENT, _CDATA, _OTHER, "<(?![a-z/!?])"]
+    wanted = [*([_SCRIPT, _STYLE] if blocks else []), _TAG]
+    return f"(?is)(?:{'|'.join(runs)})++|({'|'.join(wanted)})"
+
+
+def is_sparse_token(token: str, tags: Iterable[str], attrs: Iterable[str], blocks: bool) -> str:
+    """Is a piece of the ``sparse_re`` split a token of interest?"""
+    named = "|".join([*sorted(tags), *(["script", "style"] if blocks else [])])
+    tests = [rf"^<(?:{named})[\s/>]"] if named else []
+    if attrs:
+        tests.append(rf"^<[a-z][^\s/>]*+(?:[\s/]++|(?!{_kept(attrs)}){_ATTR})*+{_kept(attrs)}")
+    return f"rlike({token}, {q('(?is)' + '|'.join(tests))})"
+
+
+def sparse_attrs_re(attrs: Iterable[str]) -> str:
+    """Lossless split of what follows a tag name into the attributes of
+    interest (group 1) and runs of everything else."""
+    return rf"(?is)(?:[\s/>]++|(?!{_kept(attrs)}){_ATTR})++|({_ATTR})"
+
+
+def closed_sql(token: str) -> str:
+    """A tag that ends; script and style bodies may run to the end."""
+    return f"(endswith({token}, '>') or rlike({token}, {q(_RAW_TEXT)}))"
+
+
 def tokens_sql(html: str) -> str:
     return f"regexp_extract_all({html}, {q(TOKEN_RE)}, 0)"
 
@@ -79,16 +120,19 @@ def unquote_sql(raw: str) -> str:
     return f"if(rlike({raw}, '^[\"\\']'), substring({raw}, 2, length({raw}) - 2), {raw})"
 
 
-def attrs_sql(head: str) -> str:
-    """``array<struct<name, value>>`` of a start tag, values decoded."""
+def attrs_sql(head: str, names: Iterable[str] = ()) -> str:
+    """``array<struct<name, value>>`` of a start tag, values decoded; only of
+    the attributes ``names``, if given."""
 
     def one(piece: str) -> str:
-        value = let(
-            attr_raw_sql(piece), lambda r: let(unquote_sql(r), unescape_sql)
-        )
+        value = let(attr_raw_sql(piece), lambda r: let(unquote_sql(r), unescape_sql))
         return struct(name=attr_name_sql(piece), value=value)
 
-    return f"transform(regexp_extract_all({after_name_sql(head)}, {q(ATTR_RE)}, 0), a -> {one('a')})"
+    rest = after_name_sql(head)
+    found = f"regexp_extract_all({rest}, {q(ATTR_RE)}, 0)"
+    if names:
+        found = f"filter(regexp_extract_all({rest}, {q(sparse_attrs_re(names))}, 1), a -> a <> '')"
+    return f"transform({found}, a -> {one('a')})"
 
 
 def attr_sql(attrs: str, name: str) -> str:

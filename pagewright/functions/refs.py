@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from .binding import let, let_struct, q, struct
 from .css import refs_sql
-from .html import attr_sql, attrs_sql, body_sql, head_sql, tag_name_sql, tokens_sql
+from .html import attr_sql, attrs_sql, body_sql, closed_sql, head_sql, sparse_re, tag_name_sql
 from .urls import base_sql, normalize_sql
 
 LINK_KINDS = (
@@ -46,21 +46,34 @@ def button_target_sql(onclick: str) -> str:
     return f"try_element_at(regexp_extract_all({onclick}, {q(BUTTON_PATTERN)}, 1), 1)"
 
 
-def _quick(kinds: Sequence[str]) -> str:
-    """Regex that lets through every token that may hold one of the kinds."""
+def _interest(kinds: Sequence[str]) -> tuple[set[str], set[str], set[str], bool]:
+    """(tags, attributes any tag may have, attributes to read, whether script
+    and style blocks matter) for the kinds."""
     tags: set[str] = set()
+    anywhere: set[str] = set()
+    read: set[str] = set()
+    blocks = False
     for kind in kinds:
         if kind in _PLAIN_TAGS:
-            tags.update(_PLAIN_TAGS[kind][0])
-    tags.update({"button"} if "button_onclick" in kinds else ())
-    tags.update({"meta"} if "meta_refresh" in kinds else ())
-    tags.update({"script"} if set(kinds) & set(JS_PATTERNS) else ())
-    tags.update({"style"} if "style_block" in kinds else ())
-    found = [rf"^<(?:{'|'.join(sorted(tags))})[\s/>]"] if tags else []
-    names = [n for k, n in (("style_attr", "style"), ("data_attr", "data-")) if k in kinds]
-    if names:
-        found.append(rf"^<[a-z][^\s/>]*+[\s/\"'].*?(?:{'|'.join(names)})")
-    return "(?is)" + "|".join(found)
+            names, attr = _PLAIN_TAGS[kind]
+            tags.update(names)
+            read.add(attr)
+        elif kind == "button_onclick":
+            tags.add("button")
+            read.add("onclick")
+        elif kind == "meta_refresh":
+            tags.add("meta")
+            read.update({"http-equiv", "content"})
+        elif kind in ("style_attr", "data_attr"):
+            # scripts and styles may carry these too
+            anywhere.add("style" if kind == "style_attr" else "data-")
+            blocks = True
+        elif kind in JS_PATTERNS or kind == "style_block":
+            blocks = True
+        else:
+            raise ValueError(f"unknown kind of link: {kind!r}")
+    blocks = blocks or "script" in tags
+    return tags - {"script"}, anywhere, read | anywhere, blocks
 
 
 def _candidates(t: str, kinds: Sequence[str]) -> str:
@@ -79,28 +92,27 @@ def _candidates(t: str, kinds: Sequence[str]) -> str:
     def guarded(cond: str, values: str) -> str:
         return f"if({cond}, {values}, {empty})"
 
+    cases: dict[str, list[str]] = {}
     lists = []
     for kind in kinds:
         if kind in _PLAIN_TAGS:
             tags, attr = _PLAIN_TAGS[kind]
-            names = ", ".join(q(n) for n in tags)
-            lists.append(guarded(f"{t}.name in ({names})", one(kind, attr_sql(f"{t}.attrs", attr))))
+            for tag in tags:
+                cases.setdefault(tag, []).append(one(kind, attr_sql(f"{t}.attrs", attr)))
         elif kind == "button_onclick":
-            target = button_target_sql(attr_sql(f"{t}.attrs", "onclick"))
-            lists.append(guarded(f"{t}.name = 'button'", one(kind, target)))
+            cases.setdefault("button", []).append(one(kind, button_target_sql(attr_sql(f"{t}.attrs", "onclick"))))
         elif kind == "meta_refresh":
             content = attr_sql(f"{t}.attrs", "content")
             raw = f"try_element_at(regexp_extract_all({content}, {q(REFRESH_PATTERN)}, 1), 1)"
             clean = f"trim(BOTH {q(_QUOTES)} FROM trim(BOTH {q(_BLANKS)} FROM {raw}))"
             equiv = attr_sql(f"{t}.attrs", "http-equiv")
-            lists.append(
-                guarded(f"{t}.name = 'meta' and coalesce(rlike({equiv}, '(?i)refresh'), false)", one(kind, clean))
-            )
+            refresh = f"coalesce(rlike({equiv}, '(?i)refresh'), false)"
+            cases.setdefault("meta", []).append(guarded(refresh, one(kind, clean)))
         elif kind in JS_PATTERNS:
             found = f"regexp_extract_all({t}.body, {q(JS_PATTERNS[kind])}, 1)"
-            lists.append(guarded(f"{t}.name = 'script'", each(kind, found)))
+            cases.setdefault("script", []).append(each(kind, found))
         elif kind == "style_block":
-            lists.append(guarded(f"{t}.name = 'style'", each(kind, refs_sql(f"{t}.body"))))
+            cases.setdefault("style", []).append(each(kind, refs_sql(f"{t}.body")))
         elif kind == "style_attr":
             style = attr_sql(f"{t}.attrs", "style")
             lists.append(let(style, lambda s: guarded(f"contains({s}, 'url(')", each("style_attr", refs_sql(s)))))
@@ -113,27 +125,36 @@ def _candidates(t: str, kinds: Sequence[str]) -> str:
                 f"not exists({later}, b -> b.name = a.name))"
             )
             lists.append(f"transform({held}, a -> {tagged(kind, 'a.value')})")
-        else:
-            raise ValueError(f"unknown kind of link: {kind!r}")
-    return lists[0] if len(lists) == 1 else f"concat({', '.join(lists)})"
+
+    def joined(parts: list[str]) -> str:
+        return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+
+    if lists:
+        # most tokens have neither style nor data attributes
+        lists = [guarded(f"exists({t}.attrs, a -> a.name = 'style' or startswith(a.name, 'data-'))", joined(lists))]
+    if cases:
+        whens = " ".join(f"when {q(tag)} then {joined(found)}" for tag, found in cases.items())
+        lists.insert(0, f"case {t}.name {whens} else {empty} end")
+    return joined(lists)
 
 
 def page_refs_sql(html: str, kinds: Sequence[str]) -> str:
     """``array<string>`` of ``kind\\nraw`` found in a document, no repeats."""
+    tags, anywhere, read, blocks = _interest(kinds)
 
     def token(t: str) -> str:
         def parsed(v: str) -> str:
             return let_struct(
                 lambda w: _candidates(w, kinds),
                 name=f"{v}.name",
-                attrs=attrs_sql(f"{v}.head"),
-                body=body_sql(t, f"{v}.head"),
+                attrs=attrs_sql(f"{v}.head", read) if read else "cast(array() as array<struct<name string, value string>>)",
+                body=body_sql(t, f"{v}.head") if blocks else "''",
             )
 
-        return let_struct(parsed, name=tag_name_sql(t), head=head_sql(t))
+        return let_struct(parsed, name=tag_name_sql(t), head=head_sql(t) if blocks else t)
 
-    closed = "(endswith(t, '>') or rlike(t, '(?i)^<s(?:cript|tyle)[\\\\s/>]'))"
-    wanted = f"filter({tokens_sql(html)}, t -> rlike(t, {q(_quick(kinds))}) and {closed})"
+    found = f"regexp_extract_all({html}, {q(sparse_re(tags, anywhere, blocks))}, 1)"
+    wanted = f"filter({found}, t -> t <> '' and {closed_sql('t')})"
     return f"array_distinct(flatten(transform({wanted}, t -> {token('t')})))"
 
 

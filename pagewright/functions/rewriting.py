@@ -17,15 +17,22 @@ from __future__ import annotations
 from .binding import let, let_struct, q, struct
 from .css import URL_PIECES, is_ref_sql, ref_parts_sql, sheet_pieces_re
 from .entities import escape_attr_sql, unescape_sql
-from .html import PIECE_RE, after_name_sql, attr_name_sql, attr_raw_sql, head_sql, tag_name_sql, tokens_sql, unquote_sql
+from .html import (
+    after_name_sql,
+    attr_name_sql,
+    attr_raw_sql,
+    closed_sql,
+    head_sql,
+    is_sparse_token,
+    sparse_attrs_re,
+    sparse_re,
+    tag_name_sql,
+    unquote_sql,
+)
 from .paths import local_path_sql, parent_folder_sql, relative_sql, start_sql
 from .refs import button_target_sql
 from .urls import base_sql, is_http_sql, normalize_sql, same_domain_sql
 
-_TOUCHED = (
-    r"(?is)^<(?:a|form|button|video|audio|source|img|script|link|style)[\s/>]"
-    r"|^<[a-z][^\s/>]*+[\s/].*?style"
-)
 _RAW_NAME = r"(?s)^[^\s/>][^\s/=>]*+"
 # Kinds: L link attribute, B button, A asset attribute, C style text, E style
 # text inside an attribute.
@@ -99,28 +106,40 @@ def page_pieces_sql(html: str, links: bool, static: bool, styles: bool) -> str:
             ),
         )
 
+    tags = {"a", "form", "button", "video", "audio", "source"} if links else set()
+    read = {"href", "action", "src", "onclick"} if links else set()
+    if static:
+        tags |= {"img", "link"}
+        read |= {"src", "href"}
+    anywhere = {"style"} if styles else set()
+    read |= anywhere
+    blocks = static or styles
+    relevant = f"rlike(p, {q('(?i)^(?:' + '|'.join(sorted(read)) + r')(?:[\s=]|\z)')})"
+
     def token(t: str) -> str:
         def cut(v: str) -> str:
             opening = f"substring({v}.head, 1, length({v}.head) - length({v}.rest))"
             pieces = (
-                f"flatten(transform(regexp_extract_all({v}.rest, {q(PIECE_RE)}, 0), "
-                f"p -> {attribute(f'{v}.name', 'p')}))"
+                f"flatten(transform(regexp_extract_all({v}.rest, {q(sparse_attrs_re(read))}, 0), "
+                f"p -> if({relevant}, {attribute(f'{v}.name', 'p')}, array({_piece('p')}))))"
             )
             tail = f"substring({t}, length({v}.head) + 1)"
             end = f"array({_piece(tail)})"
             if styles:
                 block = f"{v}.name = 'style' and contains({t}, 'url(')"
                 end = f"if({block}, {_css_pieces(tail, URL_PIECES, 'C')}, {end})"
-            return f"if({v}.head = '', array({_piece(t)}), concat(array({_piece(opening)}), {pieces}, {end}))"
+            whole = f"concat(array({_piece(opening)}), {pieces}" + (f", {end})" if blocks else ")")
+            return f"if({v}.head = '', array({_piece(t)}), {whole})"
 
         def parsed(v: str) -> str:
             return let_struct(cut, name=f"{v}.name", head=f"{v}.head", rest=after_name_sql(f"{v}.head"))
 
-        whole = let_struct(parsed, name=tag_name_sql(t), head=head_sql(t))
-        closed = f"(endswith({t}, '>') or rlike({t}, '(?i)^<s(?:cript|tyle)[\\\\s/>]'))"
-        return f"if(rlike({t}, {q(_TOUCHED)}) and {closed}, {whole}, array({_piece(t)}))"
+        whole = let_struct(parsed, name=tag_name_sql(t), head=head_sql(t) if blocks else t)
+        touched = f"{is_sparse_token(t, tags, anywhere, blocks)} and {closed_sql(t)}"
+        return f"if({touched}, {whole}, array({_piece(t)}))"
 
-    return f"cast(flatten(transform({tokens_sql(html)}, t -> {token('t')})) as {_PIECE_TYPE})"
+    tokens = f"regexp_extract_all({html}, {q(sparse_re(tags, anywhere, blocks))}, 0)"
+    return f"cast(flatten(transform({tokens}, t -> {token('t')})) as {_PIECE_TYPE})"
 
 
 def sheet_pieces_sql(content: str, nested: bool) -> str:

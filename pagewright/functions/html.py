@@ -117,7 +117,8 @@ def attr_raw_sql(piece: str) -> str:
 
 
 def unquote_sql(raw: str) -> str:
-    return f"if(rlike({raw}, '^[\"\\']'), substring({raw}, 2, length({raw}) - 2), {raw})"
+    quoted = f"(startswith({raw}, '\"') or startswith({raw}, '\\''))"
+    return f"if({quoted}, substring({raw}, 2, length({raw}) - 2), {raw})"
 
 
 def attrs_sql(head: str, names: Iterable[str] = ()) -> str:

@@ -161,15 +161,27 @@ def _open(mark: str) -> str:
     return f"concat({mark}, p.kind, p.raw, {mark}, p.pre, {mark}, p.post, {mark}, p.url, {mark})"
 
 
+def _asset_sql(root: str, mode: str) -> str:
+    """Is piece ``p`` an asset reference that may be replaced?"""
+    return (
+        f"p.url is not null and p.kind in ('A', 'C', 'E') and {is_http_sql('p.url')} "
+        f"and {same_domain_sql(root, 'p.url', mode)}"
+    )
+
+
+def page_open_urls_sql(pieces: str, root: str, mode: str) -> str:
+    """URLs of the open references of a page, in the order of its parts."""
+    return f"transform(filter({pieces}, p -> {_asset_sql(root, mode)}), p -> p.url)"
+
+
 def page_parts_sql(pieces: str, url: str, html: str, root_dir: str, root: str, mode: str) -> str:
     def text(ctx: str) -> str:
         local = let(local_path_sql(root_dir, "p.url"), lambda t: relative_sql(f"{ctx}.start", t))
         value = let(f"if({same_domain_sql(root, 'p.url', mode)}, {local}, p.url)", escape_attr_sql)
-        asset = f"{is_http_sql('p.url')} and {same_domain_sql(root, 'p.url', mode)}"
         one = (
             "case when p.url is null then p.raw "
             f"when p.kind in ('L', 'B') then concat(p.pre, {value}, p.post) "
-            f"when {asset} then {_open(f'{ctx}.mark')} else p.raw end"
+            f"when {_asset_sql(root, mode)} then {_open(f'{ctx}.mark')} else p.raw end"
         )
         return f"split(array_join(transform({pieces}, p -> {one}), ''), {ctx}.mark)"
 

@@ -40,7 +40,7 @@ _SPLIT = (
 # Line breaks are removed from a URL before it is cut, so they can delimit.
 _JOINED = "$1\n$2\n$3\n$4\n$5\n$6"
 _DROPPED = r"^[\x00-\x20]++|[\t\r\n]++"
-_NETLOC = rf"^(?:{_SCHEME}:)?+//([^/?#]*+)"
+_NETLOC = rf"^[\x00-\x20]*+(?:{_SCHEME}:)?+//([^/?#]*+)"
 _ODD_NETLOC = rf"^(?:{_SCHEME}:)?+//[^/?#]*?[\[\]{CONFUSABLE}]"
 _IP_LITERAL = (
     rf"^(?:{_SCHEME}:)?+//[^/?#\[\]{CONFUSABLE}]*+"
@@ -226,9 +226,14 @@ def normalize_sql(base: str, link: str) -> str:
     )
 
 
+def _no_breaks(url: str) -> str:
+    found = " or ".join(f"contains({url}, {q(c)})" for c in "\t\r\n")
+    return f"if({found}, translate({url}, {q(chr(9) + chr(13) + chr(10))}, ''), {url})"
+
+
 def netloc_sql(url: str) -> str:
     """Network location of a URL ('' when it has none)."""
-    return f"regexp_extract(regexp_replace({url}, {q(_DROPPED)}, ''), {q(_NETLOC)}, 1)"
+    return f"regexp_extract({_no_breaks(url)}, {q(_NETLOC)}, 1)"
 
 
 def same_domain_sql(root: str | None, url: str, mode: str = "suffix") -> str:
@@ -242,7 +247,8 @@ def same_domain_sql(root: str | None, url: str, mode: str = "suffix") -> str:
 
 
 def is_http_sql(url: str) -> str:
-    return f"rlike({url}, {q(r'^[\x00-\x20]*+[hH][tT][tT][pP][sS]?:')})"
+    usual = f"startswith({url}, 'http://') or startswith({url}, 'https://')"
+    return f"({usual} or rlike({url}, {q(r'^[\x00-\x20]*+[hH][tT][tT][pP][sS]?:')}))"
 
 
 # --- Column forms ---------------------------------------------------------
@@ -259,7 +265,7 @@ def url_parts(url: Column | str) -> Column:
 
 def netloc_of(url: Column | str) -> Column:
     """Network location of a URL ('' when it has none)."""
-    return F.regexp_extract(F.regexp_replace(as_col(url), _DROPPED, ""), _NETLOC, 1)
+    return F.regexp_extract(F.translate(as_col(url), "\t\r\n", ""), _NETLOC, 1)
 
 
 def normalize_url(base: Column | str, link: Column | str) -> Column:

@@ -15,6 +15,7 @@ from ..functions.rewriting import (
     fill_sql,
     joined_pieces_sql,
     open_urls_sql,
+    page_open_urls_sql,
     page_parts_sql,
     page_pieces_sql,
     sheet_parts_sql,
@@ -60,26 +61,26 @@ def rewrite_pages(
     """
     assets = resource_map is not None and (rewrite_static or rewrite_styles)
 
-    def parts(with_links: bool) -> DataFrame:
-        """``(page_id, url, parts)``; open references do not depend on links."""
+    def joined(with_links: bool) -> DataFrame:
         pieces = page_pieces_sql("html", with_links, assets and rewrite_static, assets and rewrite_styles)
         cut = pages.select("page_id", "url", "html", F.expr(pieces).alias("pieces"))
-        joined = cut.select("page_id", "url", "html", F.expr(joined_pieces_sql("pieces", "url")).alias("pieces"))
-        text = page_parts_sql("pieces", "url", "html", root_dir, root, mode)
-        return joined.select("page_id", "url", F.expr(text).alias("parts"))
+        return cut.select("page_id", "url", "html", F.expr(joined_pieces_sql("pieces", "url")).alias("pieces"))
 
     placed = local_path(root_dir, "url").alias("local_path")
+    if not (assets or links):
+        return pages.select("page_id", "url", placed, "html")
+    text = page_parts_sql("pieces", "url", "html", root_dir, root, mode)
+    parts = joined(links).select("page_id", "url", F.expr(text).alias("parts"))
     if not assets:
-        if not links:
-            return pages.select("page_id", "url", placed, "html")
-        return parts(True).select("page_id", "url", placed, F.array_join("parts", "").alias("html"))
-    refs = parts(False).select(
+        return parts.select("page_id", "url", placed, F.array_join("parts", "").alias("html"))
+    # the open references do not depend on links, so this pass leaves them out
+    refs = joined(False).select(
         F.col("page_id").alias("key"),
         parent_folder(local_path(root_dir, "url")).alias("folder"),
-        F.posexplode(F.expr(open_urls_sql("parts"))).alias("k", "url"),
+        F.posexplode(F.expr(page_open_urls_sql("pieces", root, mode))).alias("k", "url"),
     )
     answers = _answers(refs, resource_map).withColumnRenamed("key", "page_id")
-    return parts(links).join(answers, "page_id", "left").select(
+    return parts.join(answers, "page_id", "left").select(
         "page_id", "url", placed, F.expr(fill_sql("parts", "paths")).alias("html")
     )
 

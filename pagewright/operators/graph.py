@@ -12,6 +12,7 @@ from ..functions.urls import canonical_url, is_excluded, same_domain
 from ..sources.workdir import delete_tree, work_dir
 
 _LEVELS = "url string, parent string, level int"
+_EDGES = "src string, dst string"
 
 
 def crawl_levels(
@@ -35,10 +36,13 @@ def crawl_levels(
     a level moves only its frontier (broadcast while it is small) and the new
     targets, which are merged before they are shuffled.  Levels are written as
     they are found; that cuts the lineage and survives lost executors.
+    ``buckets`` defaults to ``spark.sql.shuffle.partitions``; with 0 the edges
+    are a plain table, for catalogs in which no table may be created.
     """
     spark = links.sparkSession
     folder = work_dir(spark, "crawl-levels")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     kept = links if root is None else links.filter(same_domain(root, "dst_url", mode))
     edges = (
@@ -53,12 +57,16 @@ def crawl_levels(
 
     table = f"crawl_edges_{uuid.uuid4().hex}"
     levels = f"{folder}/levels"
-    (
-        edges.repartition(buckets, "src")
-        .write.bucketBy(buckets, "src").sortBy("src")
-        .option("path", f"{folder}/edges").saveAsTable(table)
-    )
+    if buckets:
+        (
+            edges.repartition(buckets, "src")
+            .write.bucketBy(buckets, "src").sortBy("src")
+            .option("path", f"{folder}/edges").saveAsTable(table)
+        )
+    else:
+        edges.write.parquet(f"{folder}/edges")
     try:
+        stored = spark.table(table) if buckets else spark.read.schema(_EDGES).parquet(f"{folder}/edges")
         (
             roots.select("url", F.lit(None).cast("string").alias("parent")).distinct()
             .write.parquet(f"{levels}/level=0")
@@ -68,8 +76,7 @@ def crawl_levels(
             frontier = spark.read.schema("url string").parquet(f"{levels}/level={level}")
             seen = spark.read.schema("url string").parquet(levels)
             reached = (
-                spark.table(table)
-                .join(frontier.withColumnRenamed("url", "src"), "src")
+                stored.join(frontier.withColumnRenamed("url", "src"), "src")
                 .groupBy(F.col("dst").alias("url"))
                 .agg(F.min("src").alias("parent"))
                 .join(seen, "url", "left_anti")

@@ -180,6 +180,7 @@ def test_crawl_levels_match_brute_force(spark):
     denied = spark.createDataFrame([(nodes[1], False), (nodes[2], True)], "url string, allowed boolean")
     got = {r.url: r.level for r in graph.crawl_levels(links, roots, "h.com", verdicts=denied, max_depth=3).collect()}
     assert got == bfs(edges, [nodes[0]], {nodes[1]}, 3)
+    assert {r.url: r.level for r in graph.crawl_levels(links, roots, buckets=0).collect()} == want
     assert graph.crawl_levels(links, roots, exclude=["h.com"]).count() == 1
     assert graph.crawl_levels(links, roots, root="other.org").count() == 1
 

@@ -14,7 +14,7 @@ from ..functions.urls import canonical_url, netloc_of
 from ..sources.readers import read_pages
 
 ROOT = "example.com"
-AGENT = "MirrorBot/1.0"
+AGENT = "ArchiveBot/1.0"
 STAMP = "2024-01-01 00:00:00"
 FETCHED = "2024-06-01 00:00:00"
 
@@ -41,7 +41,7 @@ AUGMENTED = f"""html
 ROBOTS_BODY = """case length(host) % 4
  when 0 then 'User-agent: *' || chr(10) || 'Disallow: /de' || chr(10) || 'Disallow: /submit'
  when 1 then 'User-agent: *' || chr(10) || 'Allow: /en/1' || chr(10) || 'Disallow: /en # rest' || chr(10) || 'Crawl-delay: 2'
- when 2 then 'User-agent: mirrorbot' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /fr'
+ when 2 then 'User-agent: archivebot' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /fr'
  else '' end || chr(10) || 'Sitemap: https://' || host || '/map.xml'"""
 
 ROBOTS_STATUS = "case length(host) % 7 when 5 then 404 when 6 then 503 else 200 end"

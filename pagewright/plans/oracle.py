@@ -164,9 +164,9 @@ _RULES = (
     "where exists (select 1 from mk where mk.host = ag.host and mk.g = ag.g and mk.e = 'R'))"
     ", rules as (select gs.host, group_no, agents, rule_no, (k = 'allow' or v = '') as allow, v as path, crawl_delay "
     "from gs left join rl on rl.host = gs.host and rl.g = gs.g)"
-    # the group that speaks to the agent 'mirrorbot'
+    # the group that speaks to the agent 'archivebot'
     ", pick as (select host, min_by(group_no, case when agents = '*' then 1000 else 0 end + group_no) as group_no from "
-    "(select distinct host, group_no, agents from rules) where agents = '*' or contains('mirrorbot', lower(agents)) group by host)"
+    "(select distinct host, group_no, agents from rules) where agents = '*' or contains('archivebot', lower(agents)) group by host)"
 )
 
 _STATE_ROWS = (

@@ -34,4 +34,5 @@ def mirror_integrity(rewritten: DataFrame, manifest: DataFrame) -> DataFrame:
     counted = relative_targets(rewritten).groupBy("target_path").agg(
         F.count(F.lit(1)).alias("n_refs"), F.min("local_path").alias("first_source")
     )
-    return counted.join(manifest.select(F.col("local_path").alias("target_path")), "target_path", "left_anti")
+    held = manifest.select(F.col("local_path").alias("target_path")).distinct()
+    return counted.join(held, "target_path", "left_anti")

@@ -86,10 +86,12 @@ def pending_resources(
     root domain, those of style sheets may be anywhere."""
     from_pages = page_refs.filter(same_domain(root, "dst_url", mode)).select(F.col("dst_url").alias("url"))
     wanted = from_pages.unionByName(sheet_refs.select(F.col("dst_url").alias("url")))
-    return wanted.filter(is_http("url")).distinct().join(resource_map.select("url"), "url", "left_anti")
+    # both sides distinct: neither an asset nor its captures can be a hot key
+    held = resource_map.select("url").distinct()
+    return wanted.filter(is_http("url")).distinct().join(held, "url", "left_anti")
 
 
 def missing_resources(refs: DataFrame, resources: DataFrame, column: str = "dst_url") -> DataFrame:
     """``(url, n_refs)``: assets referenced but not captured."""
     counted = refs.groupBy(F.col(column).alias("url")).agg(F.count(F.lit(1)).alias("n_refs"))
-    return counted.join(resources.select("url"), "url", "left_anti")
+    return counted.join(resources.select("url").distinct(), "url", "left_anti")

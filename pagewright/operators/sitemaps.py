@@ -53,7 +53,8 @@ def sitemap_counts(sitemap_locs: DataFrame) -> DataFrame:
 def new_sitemaps(found: DataFrame, seen: DataFrame, column: str = "sitemap_url") -> DataFrame:
     """Distinct sitemap URLs that were not parsed before."""
     fresh = found.select(F.col(column).alias("sitemap_url")).distinct()
-    return fresh.join(seen.select(F.col("url").alias("sitemap_url")), "sitemap_url", "left_anti")
+    known = seen.select(F.col("url").alias("sitemap_url")).distinct()
+    return fresh.join(known, "sitemap_url", "left_anti")
 
 
 def seed_frontier(

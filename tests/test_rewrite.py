@@ -117,3 +117,29 @@ def test_plans_stay_in_the_jvm_and_links_need_no_shuffle(spark, sf_dir):
     assert "Exchange" not in plan(rewrite.rewrite_links(df, "example.com"))
     full = plan(rewrite.rewrite_pages(df, rmap(spark), "example.com"))
     assert "EvalPython" not in full and "CartesianProduct" not in full and "NestedLoop" not in full
+
+
+def test_a_hot_asset_is_split_and_every_page_answered(spark):
+    """A third of all references name one asset; with broadcasts off adaptive
+    execution cuts its partition, and the result stays whole."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(20000).repartition(8).select(
+            F.col("id").alias("page_id"), F.concat(F.lit("http://h.com/p/"), "id").alias("url"),
+            F.when(F.col("id") % 3 == 0, F.lit("<img src='/logo.png'>")).otherwise(
+                F.concat(F.lit("<img src='/i/"), F.md5(F.col("id").cast("string")), F.lit(".png'>"))).alias("html"))
+        assets = resource_manifest(static_refs(df), "out")
+        done = rewrite.rewrite_pages(df, assets, "h.com", "out")
+        rows = done.collect()
+        assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) == 20000 and all('<img src="../../' in r.html for r in rows)
+        assert sum("logo" in r.html for r in rows) == len([n for n in range(20000) if n % 3 == 0])
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -23,6 +23,12 @@ _TOK = (
 )
 
 
+def _decoded(text: str) -> str:
+    """The character references the pages hold, decoded; some are cut short."""
+    named = f"replace(replace(replace({text}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34))"
+    return f"regexp_replace({named}, '&amp;?', '&', 'g')"
+
+
 def _attr(name: str, column: str = "token") -> str:
     return f"""regexp_extract({column}, '\\s{name}="([^"]*)"', 1)"""
 
@@ -283,9 +289,7 @@ def oracles() -> dict[str, str]:
         f"{_host('url')} || '/en/img/' || page_id || '.png' as target from own) "
         f"select page_id, {_relative('target', 'folder')} as rel from p"
     )
-    decoded = "replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34))"
-    decoded = f"regexp_replace({decoded}, '&amp;?', '&', 'g')"
-    o["u_entities"] = f"select page_id, md5({decoded}) as text_md5 from pages"
+    o["u_entities"] = f"select page_id, md5({_decoded('html')}) as text_md5 from pages"
     o["u_canonicalize"] = (
         f"with {_PAGES} select url, canonical, regexp_extract(canonical, '^([a-z]+):', 1) as scheme, {_host('canonical')} as host, "
         "regexp_extract(canonical, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(canonical, '\\?(.*)$', 1) as query, "
@@ -309,10 +313,8 @@ def oracles() -> dict[str, str]:
             f"with {_RESOURCES}, r as (select url, unnest([{refs}]) as raw from resources where path like '%.css') "
             f"select url as css_url, raw, {_absolute()} as dst_url from r"
         )
-    o["x_title"] = (
-        "select page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), "
-        "'&amp;?', '&', 'g'), '\\s+', ' ', 'g')) as title from pages"
-    )
+    title = _decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
+    o["x_title"] = f"select page_id, trim(regexp_replace({title}, '\\s+', ' ', 'g')) as title from pages"
     o["x_interstitial"] = "select page_id, page_id % 7 = 2 as interstitial from pages"
     o["x_sitemap"] = f"with {_MAPS} select sitemap_url, loc from locs"
     o["a_sitemap_counts"] = f"with {_MAPS} select sitemap_url, count(*) as n_urls from locs group by sitemap_url"

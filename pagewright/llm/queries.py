@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .simhash import hex_digits, near_components
 from .suffixes import remove_repeats
 
 
+def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_components(table(spark, sf_dir, "documents"), n=3, radius=2, blocks=8)
+    return found.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op5_suffix_dedup": op5_suffix_dedup}
+QUERIES = {
+    "op2_simhash_components": op2_simhash_components,
+    "op5_suffix_dedup": op5_suffix_dedup,
+}
 ORACLES: dict[str, str] = {}

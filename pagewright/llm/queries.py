@@ -9,6 +9,7 @@ from .bpe import encode_digests
 from .chat import chat_digests
 from .common import table
 from .licenses import license_scan
+from .main_text import extract_pages
 from .quality_rules import quality_verdicts
 from .simhash import hex_digits, near_components
 from .suffixes import remove_repeats
@@ -43,6 +44,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -60,6 +65,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_word_bpe": op6_word_bpe,
     "op7_token_files": op7_token_files,
+    "op8_main_text": op8_main_text,
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .bpe import encode_digests
 from .chat import chat_digests
 from .common import table
+from .decontaminate import find_leaks
 from .licenses import license_scan
 from .main_text import extract_pages
+from .quality_model import quality_scores
 from .quality_rules import quality_verdicts
 from .simhash import hex_digits, near_components
 from .suffixes import remove_repeats
@@ -23,6 +25,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"), n=3, radius=2, blocks=8)
     return found.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
@@ -32,6 +38,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -60,8 +70,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash_components": op2_simhash_components,
     "op3_license_scan": op3_license_scan,
+    "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_word_bpe": op6_word_bpe,
     "op7_token_files": op7_token_files,

@@ -55,7 +55,7 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def _per_text_sums(buffer: Buffer, flags: np.ndarray) -> np.ndarray:
+def text_sums(buffer: Buffer, flags: np.ndarray) -> np.ndarray:
     sums = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
     return sums[buffer.starts + buffer.lengths] - sums[buffer.starts]
 
@@ -81,9 +81,9 @@ def _statistics():
         data = buffer.data
         start, end, owner = buffer.words(NOT_SPACE)
         n_words = np.bincount(owner, minlength=len(texts)).astype(np.int64)
-        chars = _per_text_sums(buffer, NOT_SPACE[data] & ((data & 0xC0) != 0x80))
-        marks = _per_text_sums(buffer, MARKS[data])
-        upper, digits = _per_text_sums(buffer, UPPER[data]), _per_text_sums(buffer, DIGIT[data])
+        chars = text_sums(buffer, NOT_SPACE[data] & ((data & 0xC0) != 0x80))
+        marks = text_sums(buffer, MARKS[data])
+        upper, digits = text_sums(buffer, UPPER[data]), text_sums(buffer, DIGIT[data])
         repeats = repeated_words(buffer, start, end, owner, len(texts))
         words, size = np.maximum(n_words, 1), np.maximum(chars, 1)
         angle = lambda part: np.arcsin(np.sqrt(np.clip(part / size, 0, 1)))
@@ -92,7 +92,7 @@ def _statistics():
             np.arcsin(np.sqrt(np.clip(repeats / words, 0, 1))),
         ], axis=1)
         return [
-            n_words, chars, _per_text_sums(buffer, SYMBOLS[data]),
+            n_words, chars, text_sums(buffer, SYMBOLS[data]),
             np.fromiter(map(duplicate_lines, texts), dtype=np.int64, count=len(texts)), repeats, list(z),
         ]
 

@@ -1,8 +1,65 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``: quality rules, SimHash
+near-dedup, suffix-array dedup, benchmark decontamination, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept;
+all but the last return the columns of ``documents``.  Empty tables pass
+through; nulls, repeated rows and very long texts are handled as each operator
+says.  SQL cannot express the outlier rule or the fingerprints' links, so there
+is no SQL twin; tests compare the stages with brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pagewright.llm.bpe import encode_digests
+from pagewright.llm.common import materialize, table
+from pagewright.llm.decontaminate import drop_leaks
+from pagewright.llm.quality_rules import keep_good
+from pagewright.llm.queries import vocabulary
+from pagewright.llm.simhash import drop_near_copies
+from pagewright.llm.suffixes import drop_repeats
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the outlier rule reject go."""
+    return keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return drop_near_copies(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go from the texts; a document of which nothing is left goes."""
+    return drop_repeats(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of what stays."""
+    return encode_digests(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is a written table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -167,13 +167,21 @@ def link_run(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that join members of one run (codes in Gray order) at distance
     ``radius`` or less, enough to connect all that can be connected."""
     n = len(codes)
-    forest = Forest(n)
     if n == 2:
         return [(0, 1)] if int(codes[0] ^ codes[1]).bit_count() <= radius else []
+    forest = Forest(n)
+    levels = _hierarchy(codes)
+    # near ones first, so that links that are checked later are the closest there are
+    for within in sorted({*range(2, radius, 4), radius}):
+        _link_within(codes, levels, forest, within)
+    return forest.links
+
+
+def _link_within(codes: np.ndarray, levels: list, forest: Forest, radius: int) -> None:
+    n = len(codes)
     # neighbours in rank first: most groups are one part after this
     near = np.flatnonzero(np.bitwise_count(codes[1:] ^ codes[:-1]) <= radius)
     forest.join(near, near + 1)
-    levels = _hierarchy(codes)
     top = len(levels) - 1
     a, b = np.triu_indices(len(levels[top][0]))
     stack = [(top, a, b, np.zeros(len(a), dtype=np.uint64), np.zeros(len(a), dtype=np.int64))]
@@ -204,7 +212,6 @@ def link_run(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
             so_far = np.broadcast_to(apart[part, None, None], x.shape)
             fits = (x < below) & (y < below) & (x <= y if level > 1 else x < y)
             stack.append((level - 1, x[fits], y[fits], up[fits], so_far[fits]))
-    return forest.links
 
 
 def _search(radius: int):
@@ -250,23 +257,78 @@ def _search(radius: int):
     return search
 
 
-def near_links(fps: DataFrame, radius: int = 2, blocks: int = 8) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 2, blocks: int = 8, reach: int | None = None) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fp`` that differ in at most
-    ``radius`` bits: enough of them to connect every two that a chain connects."""
+    ``radius`` bits: enough of them to connect every two that a chain connects.
+    With a larger ``reach``, links up to it are taken where runs show them."""
     entries = fps.select("fp").mapInArrow(_entries(blocks, radius), "arrangement int, run bigint, rank bigint, fp bigint")
     return (
         entries.repartition("arrangement", "run").sortWithinPartitions("arrangement", "run", "rank")
-        .mapInArrow(_search(radius), "u bigint, v bigint")
+        .mapInArrow(_search(reach or radius), "u bigint, v bigint")
     )
 
 
-def near_components(docs: DataFrame, n: int = 3, radius: int = 2, blocks: int = 8, keep=()) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, the ``keep`` columns): doc_id, fp and
-    component_id, the smallest doc_id that chains of links reach."""
-    rows = materialize(fingerprints(docs, n, ["doc_id", *keep]), "fingerprints")
+def shingle_set(text: bytes, n: int) -> np.ndarray:
+    """Sorted distinct hashes of the ``n``-word shingles."""
+    words = text.lower().split()
+    runs = [b" ".join(words[k:k + n]) for k in range(max(1, len(words) - n + 1))] if words else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], dtype=np.uint64)).view(np.int64)
+
+
+def _alike(similarity: float):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for row in range(batch.num_rows):
+                a, b = (batch.column(k)[row].values.to_numpy() for k in (2, 3))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def alike_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Of ``links``, those whose fingerprints' first documents have a Jaccard
+    similarity of shingles of at least ``similarity``."""
+    links = materialize(links.distinct(), "links")
+    ends = links.select(F.col("u").alias("fp")).unionByName(links.select(F.col("v").alias("fp"))).distinct()
+    firsts = nodes.join(ends, "fp", "left_semi").select("fp", F.col("least").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(firsts, "doc_id").dropDuplicates(["fp"])
+    make = lambda: lambda texts: [[shingle_set(t, n) for t in texts]]
+    sets = materialize(per_text(texts, make, [("members", "array<bigint>")], ["fp"]), "shingles")
+    for end in ("u", "v"):
+        links = lookup(links, sets.select(F.col("fp").alias(end), F.col("members").alias(f"of_{end}")), end, "inner")
+    return links.select("u", "v", "of_u", "of_v").mapInArrow(_alike(similarity), "u bigint, v bigint")
+
+
+def near_components(
+    docs: DataFrame, n: int = 3, radius: int = 2, blocks: int = 8, reach: int | None = None, similarity: float | None = None
+) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, fp and component_id, the
+    smallest doc_id that chains of links reach.  With ``similarity``, a link also
+    needs that Jaccard similarity of the two texts' shingles."""
+    rows = materialize(fingerprints(docs, n), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    parts = components(near_links(nodes, radius, blocks)).withColumnRenamed("node", "fp")
+    links = near_links(nodes, radius, blocks, reach)
+    if similarity is not None:
+        links = alike_links(links, nodes, docs, n, similarity)
+    parts = components(links).withColumnRenamed("node", "fp")
     rooted = nodes.join(parts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = lookup(rooted.select("fp", "root"), lowest, "root", "inner").select("fp", "component_id")
     return lookup(rows, named, "fp", "inner")
+
+
+#: What the pipeline calls near copies: five words, similarity 0.8, all within 6
+#: bits and what the same runs show up to 10.
+NEAR = {"n": 5, "radius": 6, "blocks": 9, "reach": 10, "similarity": 0.8}
+
+
+def drop_near_copies(docs: DataFrame, **near) -> DataFrame:
+    """One row of each component of ``docs``, that with the smallest doc_id;
+    rows without an id cannot be told apart and stay."""
+    found = near_components(docs, **{**NEAR, **near})
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))

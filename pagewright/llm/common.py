@@ -31,12 +31,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Drops shuffle files at the end of the execution that made them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` under the shared work folder and read it back: cuts lineage
-    and survives the loss of executors."""
+    and survives the loss of executors.  The shuffle files behind it are of no
+    more use then, and are dropped."""
     spark = df.sparkSession
     path = work_dir(spark, purpose)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,16 +3,17 @@
 Every string of ``length`` bytes that also starts earlier (in a document with a
 smaller id, or earlier in the same one) is covered; covered bytes go.
 
-Method.  Exact copies of a document are settled by their hash.  In the others,
-suffixes are taken at anchors: positions whose ``seed``-byte hash is smallest
-in some window of ``length`` bytes.  Equal windows have equal anchors, so
-nothing is lost, and there are about 2 anchors per ``length - seed`` bytes.
-Suffixes are dealt out by their leading bytes, those with leading bytes of
-their own are dropped, and each remaining bucket is sorted by a multikey sort
-on the following and on the preceding bytes.  Neighbours' common prefixes then
-tell which windows of an anchor have an equal window further up.  Hot leading
-bytes (more than ``crowd`` suffixes) are settled by grouping window hashes
-instead, which aggregates before it shuffles; the result is the same.
+Method.  Suffixes are taken at anchors: positions whose ``seed``-byte hash is
+smallest in some window of ``length`` bytes.  Equal windows have equal anchors,
+so nothing is lost, and there are about 2 anchors per ``length - seed`` bytes.
+Suffixes are dealt out by their leading bytes.  Those with leading bytes of
+their own are dropped; of those that agree in all bytes any window of the
+anchor can reach, all but the first are covered as they are.  What remains, one
+suffix per distinct surrounding, gets its bytes, and each bucket is sorted by a
+multikey sort on the following and on the preceding bytes.  Neighbours' common
+prefixes then tell which windows of an anchor have an equal window further up.
+Hot leading bytes (more than ``crowd`` surroundings) are settled by grouping
+window hashes instead, which aggregates before it shuffles; the result is the same.
 
 Defined cases: null text is empty; documents shorter than ``length`` are never
 touched; repeated rows of one id are one document; rows of one id with
@@ -28,13 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.lookup import lookup
-from .common import Buffer, materialize, per_text
+from .common import Buffer, materialize, mix, per_text
 
-LENGTH, SEED, CROWD = 100, 20, 20_000
+LENGTH, SEED, CROWD = 100, 20, 100_000
 #: Suffixes that one local sort holds.
 BUCKET = 32_768
 
@@ -70,13 +73,25 @@ def anchors(buffer: Buffer, length: int, seed: int) -> tuple[np.ndarray, np.ndar
     return owner[fits], inside[fits], hashes[chosen[fits]].view(np.int64)
 
 
+#: The text's own hash bits beside a position: rows of one id with different texts stay apart.
+SPOT_BITS, TEXT_BITS = 32, 20
+
+
 def _find_anchors(length: int, seed: int):
+    """Spots (text hash bits and position), seed hashes and surroundings' hashes."""
+
     def compute(texts: list[bytes]):
         buffer = Buffer(texts)
         owner, inside, hashes = anchors(buffer, length, seed)
-        ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x, type=pa.int64())) for x in (inside, hashes)]
-        return lists
+        start = buffer.starts[owner]
+        low = np.maximum(inside - (length - seed), 0)
+        high = np.minimum(inside + length, buffer.lengths[owner])
+        around = mix(buffer.hashes(start + low, start + high) + (inside - low).astype(np.uint64))
+        own = buffer.hashes(buffer.starts, buffer.starts + buffer.lengths) >> np.uint64(64 - TEXT_BITS)
+        own = own.astype(np.int64) << SPOT_BITS
+        ends = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32))
+        lists = (own[owner] + inside, hashes, around.view(np.int64))
+        return [own >> SPOT_BITS, *(pa.ListArray.from_arrays(ends, pa.array(x, type=pa.int64())) for x in lists)]
 
     return compute
 
@@ -189,8 +204,10 @@ def _settle_bucket(length: int, seed: int):
             place[order] = np.concatenate(([0], np.cumsum(step)))
             low, high = covered(frame["before"].tolist(), frame["after"].tolist(), place, length, seed)
             hit = np.flatnonzero(high > low)
+            own = frame["own"].to_numpy(dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[hit]), pa.array((at + low)[hit]), pa.array((at + high)[hit])], names=["id", "low", "high"]
+                [pa.array(ids[hit]), pa.array(own[hit]), pa.array((at + low)[hit]), pa.array((at + high)[hit])],
+                names=["id", "own", "low", "high"],
             )
 
     return run
@@ -203,9 +220,9 @@ def _settle_crowd(suffixes: DataFrame, length: int, seed: int) -> DataFrame:
     shifts = F.sequence(F.greatest(F.lit(0), F.lit(length) - after), F.least(F.lit(length - seed), before))
     windows = (
         suffixes.where(before + after >= length)
-        .select("id", "at", "before", "after", F.explode(shifts).alias("shift"))
+        .select("id", "own", "at", "before", "after", F.explode(shifts).alias("shift"))
         .select(
-            "id", "at", "shift",
+            "id", "own", "at", "shift",
             # preceding bytes are kept reversed, nearest first
             F.sha2(F.concat(
                 F.substring("before", F.lit(1), F.col("shift")), F.lit(b"|"),
@@ -218,17 +235,17 @@ def _settle_crowd(suffixes: DataFrame, length: int, seed: int) -> DataFrame:
     return (
         lookup(windows, lowest, "window", "inner")
         .where(order > F.col("lowest"))
-        .groupBy("id", "at")
+        .groupBy("id", "own", "at")
         .agg(F.max("shift").alias("last"), F.min("shift").alias("first"))
-        .select("id", (F.col("at") - F.col("last")).alias("low"), (F.col("at") + length - F.col("first")).alias("high"))
+        .select("id", "own", (F.col("at") - F.col("last")).alias("low"), (F.col("at") + length - F.col("first")).alias("high"))
     )
 
 
 def _contexts(length: int, seed: int):
-    """Per document with shared anchors: the bytes around each anchor."""
+    """Per document with open anchors: the bytes around each."""
     back = length - seed
-    names = ["id", "at", "seed", "before", "after"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["id", "own", "at", "seed", "before", "after"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
         rows: list[list] = [[] for _ in names]
@@ -238,12 +255,13 @@ def _contexts(length: int, seed: int):
 
         for batch in batches:
             for row in range(batch.num_rows):
-                key, text = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                shared = batch.column(2)[row].values
-                for at, mark in zip(shared.field(0).to_pylist(), shared.field(1).to_pylist()):
-                    if at + seed <= len(text):
-                        for x, value in zip(rows, (key, at, mark, text[max(0, at - back):at][::-1], text[at:at + length])):
-                            x.append(value)
+                key, own = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                text = unpack(batch.column(2)[row].as_py())
+                held = batch.column(3)[row].values
+                for at, mark in zip(held.field(0).to_pylist(), held.field(1).to_pylist()):
+                    values = (key, own, at, mark, text[max(0, at - back):at][::-1], text[at:at + length])
+                    for x, value in zip(rows, values):
+                        x.append(value)
                 if len(rows[0]) >= 20_000:
                     yield flush()
                     rows = [[] for _ in names]
@@ -253,55 +271,71 @@ def _contexts(length: int, seed: int):
     return run
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """(id, data, whole, mark): ids without nulls, bytes, and two text hashes."""
-    data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), data.alias("data"),
-        F.sha2(data, 256).alias("whole"), F.xxhash64(data).alias("mark"),
-    )
+def pack(text: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(text)
+
+
+def unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _packed(docs: DataFrame, keep=()) -> DataFrame:
+    """(id, own, packed): ids without nulls, the text's hash bits, and the text
+    compressed, for it is shuffled."""
+
+    def compute(texts: list[bytes]):
+        buffer = Buffer(texts)
+        own = buffer.hashes(buffer.starts, buffer.starts + buffer.lengths) >> np.uint64(64 - TEXT_BITS)
+        return [own.astype(np.int64), [pack(t) for t in texts]]
+
+    return per_text(docs, lambda: compute, [("own", "bigint"), ("packed", "binary")], [_id().alias("id"), *keep])
+
+
+def _id():
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
-    """(id, whole, data, spans array<struct<low, high>>) of the documents that
-    hold covered ranges, but for later copies of a document."""
-    base = _identified(docs)
+    """Per document with covered ranges (id, own): ``settled``, the anchors all
+    of whose surroundings are covered, and ``spans``, further ranges."""
     found = (
-        per_text(base.where(F.octet_length("data") >= length), lambda: _find_anchors(length, seed),
-                 [("ats", "array<bigint>"), ("seeds", "array<bigint>")], ["mark"], F.col("data").cast("string"))
-        .select("mark", F.inline(F.arrays_zip("ats", "seeds"))).toDF("mark", "at", "seed")
-    )
-    group = Window.partitionBy("seed")
-    place = F.struct("at", "seed")
-    shared = (
-        # copies of a document count once: rows of one seed lie together, so this shuffles nothing more
-        found.repartition("seed").distinct()
-        .withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1")
-        .groupBy("mark").agg(
-            F.collect_list(F.when(F.col("n") <= crowd, place)).alias("cold"),
-            F.collect_list(F.when(F.col("n") > crowd, place)).alias("hot"),
-        )
+        per_text(docs, lambda: _find_anchors(length, seed),
+                 [("own", "bigint"), ("spots", "array<bigint>"), ("seeds", "array<bigint>"), ("arounds", "array<bigint>")],
+                 [_id().alias("id")])
+        .select("id", F.inline(F.arrays_zip("spots", "seeds", "arounds"))).toDF("id", "spot", "seed", "around")
     )
-    firsts = base.groupBy("whole").agg(F.min("id").alias("id"), F.min("mark").alias("mark"))
-    met = materialize(
-        base.select("id", "whole", "data").join(firsts.join(shared, "mark").select("id", "whole", "cold", "hot"), ["id", "whole"]),
-        "suffixes",
+    at = F.col("spot").bitwiseAND((1 << SPOT_BITS) - 1)
+    # one sort per partition serves both windows: rows of one seed lie together
+    earlier = Window.partitionBy("seed", "around").orderBy("id", at)
+    marks = materialize(
+        found.repartition("seed")
+        .withColumn("first", F.rank().over(earlier) == 1)
+        .withColumn("n", F.count(F.when(F.col("first"), 1)).over(Window.partitionBy("seed")))
+        .where("not first or n > 1")
+        .select("id", F.shiftright("spot", SPOT_BITS).alias("own"), at.alias("at"), "seed", "first", (F.col("n") > crowd).alias("hot"))
+        .groupBy("id", "own").agg(
+            F.collect_list(F.when(~F.col("first"), F.col("at"))).alias("settled"),
+            F.collect_list(F.when(F.col("first") & ~F.col("hot"), F.struct("at", "seed"))).alias("cold"),
+            F.collect_list(F.when(F.col("first") & F.col("hot"), F.struct("at", "seed"))).alias("crowded"),
+        ),
+        "anchors",
     )
+    ranges = "id bigint, own bigint, low bigint, high bigint"
 
     def suffixes(which: str) -> DataFrame:
-        return met.where(F.size(which) > 0).select("id", "data", which).mapInArrow(
-            _contexts(length, seed), "id bigint, at bigint, seed bigint, before binary, after binary"
+        wanted = marks.where(F.size(which) > 0).select("id", "own", which)
+        return _packed(docs).join(wanted, ["id", "own"]).select("id", "own", "packed", which).mapInArrow(
+            _contexts(length, seed), "id bigint, own bigint, at bigint, seed bigint, before binary, after binary"
         )
 
     cold = (
-        suffixes("cold").repartition("seed").sortWithinPartitions("seed")
-        .mapInArrow(_settle_bucket(length, seed), "id bigint, low bigint, high bigint")
-    )
-    spans = (
-        cold.unionByName(_settle_crowd(suffixes("hot"), length, seed))
-        .groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+        suffixes("cold").repartition("seed").sortWithinPartitions("seed").mapInArrow(_settle_bucket(length, seed), ranges)
     )
-    return met.select("id", "whole", "data").join(spans, "id")
+    parts = cold
+    if not marks.where(F.size("crowded") > 0).isEmpty():
+        parts = parts.unionByName(_settle_crowd(suffixes("crowded"), length, seed))
+    spans = materialize(parts.groupBy("id", "own").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
+    return marks.select("id", "own", "settled").where(F.size("settled") > 0).join(spans, ["id", "own"], "full")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -315,50 +349,69 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(batches):
+def _cut(batches, length: int, back: int):
+    """Lengths, removed bytes, runs and what remains, from (id, packed, settled, spans)."""
     for batch in batches:
-        kept, removed, counts, hashes = [], [], [], []
+        out: list[list] = [[] for _ in range(5)]
         for row in range(batch.num_rows):
-            data = batch.column(2)[row].as_py()
-            flat = batch.column(3)[row].values
-            runs = merge_spans(list(zip(flat.field(0).to_pylist(), flat.field(1).to_pylist())))
-            parts, end = [], 0
-            for low, high in runs:
-                parts.append(data[end:low])
-                end = high
-            rest = b"".join([*parts, data[end:]])
-            kept.append(rest)
-            removed.append(len(data) - len(rest))
-            counts.append(len(runs))
-            hashes.append(hashlib.sha256(rest).hexdigest())
+            data = unpack(batch.column(1)[row].as_py())
+            runs, rest = [], data
+            settled, open_spans = batch.column(2)[row], batch.column(3)[row]
+            ends = []
+            if settled.is_valid:
+                at = settled.values.to_numpy()
+                ends.append(np.stack([at - back, at + length]))
+            if open_spans.is_valid:
+                ends.append(np.stack([open_spans.values.field(k).to_numpy() for k in (0, 1)]))
+            if ends:
+                runs = merge_spans(list(zip(*np.clip(np.concatenate(ends, axis=1), 0, len(data)).tolist())))
+                parts, end = [], 0
+                for low, high in runs:
+                    parts.append(data[end:low])
+                    end = high
+                rest = b"".join([*parts, data[end:]])
+            for x, value in zip(out, (len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest if runs else None)):
+                x.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()),
-             pa.array(counts, pa.int64()), pa.array(hashes, pa.string())],
-            names=["id", "whole", "kept", "n_removed", "n_spans", "kept_sha256"],
+            [*batch.columns[4:], *(pa.array(x, k) for x, k in zip(out, kinds))],
+            names=[*batch.schema.names[4:], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256, and ``kept``, the remaining bytes where any were removed."""
-    base = _identified(docs)
-    firsts = base.groupBy("whole").agg(F.min("id").alias("first"))
-    cut = (
-        repeated_spans(docs, length, seed, crowd)
-        .mapInArrow(_cut, "id bigint, whole string, kept binary, n_removed bigint, n_spans bigint, kept_sha256 string")
-        .dropDuplicates(["id", "whole"])
-    )
-    narrow = base.select("id", "whole", F.octet_length("data").cast("bigint").alias("n_bytes"))
-    known = lookup(narrow, firsts, "whole", "inner")
-    copy = (F.col("id") > F.col("first")) & (F.col("n_bytes") >= length)
-    empty = F.sha2(F.lit(b""), 256)
-    return (
-        known.join(cut, ["id", "whole"], "left")
-        .select(
-            F.when(F.col("id") > -(1 << 63), F.col("id")).alias("doc_id"), "n_bytes",
-            F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
-            F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
-            F.when(copy, empty).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
-            F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-        )
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, crowd: int = CROWD, keep=("doc_id",)) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text) the ``keep`` columns, n_bytes,
+    n_removed, n_spans, kept_sha256, and ``kept``, the remaining bytes where any
+    were removed."""
+    spans = repeated_spans(docs, length, seed, crowd)
+    rows = _packed(docs.withColumn("__keep", F.struct(*keep)), [F.col("__keep")])
+    known = rows.join(spans, ["id", "own"], "left").select("id", "packed", "settled", "spans", "__keep.*")
+    schema = T.StructType(known.schema.fields[4:])
+    for name, kind in (("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string"), ("kept", "binary")):
+        schema = schema.add(name, T.DataType.fromDDL(kind))
+    return known.mapInArrow(lambda batches: _cut(batches, length, length - seed), schema)
+
+
+def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
+    """The rows of ``docs`` with what repeats cut from ``text`` (``n_chars``, if
+    there, follows), without rows of which nothing is left.  A character that
+    a cut splits goes with it."""
+    columns = docs.columns
+    named = docs.select(F.struct(*columns).alias("row"), "doc_id", "text")
+    cut = remove_repeats(named, length, seed, crowd, ["row", "text"])
+
+    def restore(batches):
+        for batch in batches:
+            kept = [None if x is None else x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["row", "kept"])
+
+    schema = T.StructType([cut.schema["row"], T.StructField("kept", T.StringType())])
+    touched = (
+        cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+        .select("row", "kept").mapInArrow(restore, schema)
     )
+    fresh = {"text": F.coalesce("kept", F.col("row.text"))}
+    if "n_chars" in columns:
+        chars = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("row.n_chars"))
+        fresh["n_chars"] = chars.cast(docs.schema["n_chars"].dataType)
+    return touched.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in columns])

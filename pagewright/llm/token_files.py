@@ -23,7 +23,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from .common import materialize, text_slices
 
 END_ID = 2
 #: Pieces a task remembers before it starts anew.
-REMEMBER = 400_000
+REMEMBER = 600_000
 #: Cuts text into pieces as byte-level vocabularies do; a fixed value.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -59,18 +58,27 @@ class PieceEncoder(dict):
         self.symbols = byte_symbols()
         self.size = self.whole.get_vocab_size()
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        symbols = self.symbols
-        ids = tuple(t.id for t in self.merge("".join([symbols[b] for b in piece.encode()])))
-        self[piece] = ids
-        return ids
+        #: Ids are kept as they are stored, 2 or 4 bytes each, and joined as bytes.
+        self.width = 2 if self.size <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
 
-    def encode(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
-            return self.whole.encode(text, add_special_tokens=False).ids
+    def __missing__(self, piece: str) -> bytes:
+        symbols = self.symbols
+        ids = [t.id for t in self.merge("".join([symbols[b] for b in piece.encode()]))]
+        self[piece] = stored = np.array(ids, dtype=self.kind).tobytes()
+        return stored
+
+    def stored(self, text: str) -> bytes:
+        """Ids of a text as they are stored."""
+        for special in self.special:
+            if special in text:
+                return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
         if len(self) > REMEMBER:
             self.clear()
-        return list(chain.from_iterable([self[p] for p in self.find(text)]))
+        return b"".join([self[p] for p in self.find(text)])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.stored(text), dtype=self.kind).tolist()
 
 
 _HELD: dict[str, PieceEncoder] = {}
@@ -121,8 +129,8 @@ def _write_shard(folder: str, path: str):
 
     def run(batches):
         encoder = piece_encoder(path)
-        width = 2 if encoder.size <= 1 << 16 else 4
-        kind = np.dtype(f"<u{width}")
+        width = encoder.width
+        end_id = np.array([END_ID], dtype=encoder.kind).tobytes()
         context = TaskContext.get()
         name = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}"
         store, place = _open(f"{folder}/{name}")
@@ -135,13 +143,12 @@ def _write_shard(folder: str, path: str):
                     data, index = store.open_output_stream(f"{place}.rec"), store.open_output_stream(f"{place}.idx")
                 for n, text in enumerate(texts):
                     key = ids[first + n].as_py()
-                    found = encoder.encode(text.decode())
-                    found.append(END_ID)
-                    record = frame(struct.pack("<Bq", key is None, key or 0) + np.array(found, dtype=kind).tobytes())
+                    found = encoder.stored(text.decode()) + end_id
+                    record = frame(struct.pack("<Bq", key is None, key or 0) + found)
                     index.write(struct.pack("<QQ", offset, tokens))
                     data.write(record)
                     docs += 1
-                    tokens += len(found)
+                    tokens += len(found) // width
                     offset += len(record)
         if data is not None:
             data.close()

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .binding import let_struct, q, struct
 
 _BLANKS = " \t\n\r\u000b\f"
@@ -9,27 +15,62 @@ _BLANKS = " \t\n\r\u000b\f"
 URL_PIECES = r"(?s)url\([^)]*+(?:\)|\z)|(?:[^u]++|u(?!rl\())++"
 URL_TOKEN = r"(?s)url\([^)]*+(?:\)|\z)"
 
-_STRING = r"\"[^\"]*+\"|'[^']*+'"
-_PAREN = r"\([^)]*+\)"
-_D0 = r"[^{}]*+"
-_D1 = rf"(?:[^{{}}]++|\{{{_D0}\}})*+"
-_D2 = rf"(?:[^{{}}]++|\{{{_D1}\}})*+"
-_D3 = rf"(?:[^{{}}]++|\{{{_D2}\}})*+"
-# Parts of a style sheet whose references are no rule properties: comments,
-# statements such as @import, and (unless nested rules are wanted) blocks such
-# as @media with the rules in them.
-_COMMENT = r"/\*.*?(?:\*/|\z)"
-_PRELUDE = rf"(?:{_STRING}|{_PAREN}|[^;{{}}\"'(])*+"
-_STATEMENT = rf"@(?!font-face|page)[A-Za-z\-]++{_PRELUDE};"
-_BLOCK = rf"@(?!font-face|page)[A-Za-z\-]++{_PRELUDE}\{{{_D3}\}}"
-
-
-def sheet_pieces_re(nested: bool) -> str:
-    """Lossless pieces of a style sheet; those for which ``is_ref_sql``
-    holds are references of rule properties."""
-    skipped = [_COMMENT, _STATEMENT] + ([] if nested else [_BLOCK])
-    text = r"(?:[^u/@]++|u(?!rl\()|/(?!\*))++"
-    return "(?s)" + "|".join([*skipped, r"url\([^)]*+(?:\)|\z)", text, "."])
+# Tokens of a style sheet, each found in one pass over its own characters.
+_SHEET_TOKEN = re.compile(
+    r"""(?s)/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|url\([^)]*+(?:\)|\Z)|@[A-Za-z\-]++|[{}]|[^/"'u@{}]++|."""
+)
+# What stands between an at-keyword and the ``;`` or ``{`` that ends it.
+_PRELUDE = re.compile(r"""(?s)(?:/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|\([^)]*+(?:\)|\Z)|[^;{}"'(/]++|["'/])*+""")
+_URL_PIECE = re.compile(URL_PIECES.replace(r"\z", r"\Z"))
+_RULE_LIKE = ("@font-face", "@page")
+
+
+def split_sheet(text: str, nested: bool) -> list[str]:
+    """Lossless pieces of a style sheet; those for which ``is_ref_sql`` holds
+    are references of rule properties.
+
+    Comments, statements such as ``@import`` and (unless ``nested``) blocks such
+    as ``@media`` with the rules in them are pieces of their own.  Braces in
+    strings and comments do not count, blocks nest to any depth, and one left
+    open runs to the end, as does an at-rule without an end.
+    """
+    pieces: list[str] = []
+    at, end = 0, len(text)
+    while at < end:
+        token = _SHEET_TOKEN.match(text, at).group()
+        stop = at + len(token)
+        if token[0] == "@" and len(token) > 1 and not token.lower().startswith(_RULE_LIKE):
+            stop = _PRELUDE.match(text, stop).end()
+            if stop < end and text[stop] == ";":
+                stop += 1
+            elif stop < end and text[stop] == "{" and not nested:
+                depth = 0
+                while stop < end:
+                    inner = _SHEET_TOKEN.match(text, stop).group()
+                    stop += len(inner)
+                    depth += (inner == "{") - (inner == "}")
+                    if not depth:
+                        break
+            pieces.append(text[at:stop])
+        elif token[0] in "\"'" and len(token) > 1:
+            # a property's string may hold a reference
+            pieces += [m.group() for m in _URL_PIECE.finditer(token)]
+        else:
+            pieces.append(token)
+        at = stop
+    return pieces
+
+
+def sheet_pieces(content: str, nested: bool) -> Column:
+    """``split_sheet`` of a column.  Depth is a running state, which built-in
+    array functions cannot keep in linear time, so this one step is a small
+    Arrow-batched function; style sheets are few beside documents."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(sheets: pd.Series) -> pd.Series:
+        return sheets.map(lambda s: None if s is None else split_sheet(s, nested))
+
+    return pieces(content)
 
 
 def is_ref_sql(piece: str) -> str:
@@ -72,8 +113,13 @@ def ref_parts_sql(piece: str, entities: bool = False) -> str:
     return let_struct(left, piece=piece, body=f"substring({piece}, 5, length({piece}) - 5)")
 
 
-def refs_sql(text: str, pieces: str = URL_TOKEN) -> str:
+def refs_sql(text: str) -> str:
     """Non-empty one-line references of style text, in order."""
-    tokens = f"filter(regexp_extract_all({text}, {q(pieces)}, 0), u -> {is_ref_sql('u')})"
+    return piece_refs_sql(f"regexp_extract_all({text}, {q(URL_TOKEN)}, 0)")
+
+
+def piece_refs_sql(pieces: str) -> str:
+    """The same of an array of pieces."""
+    tokens = f"filter({pieces}, u -> {is_ref_sql('u')})"
     found = f"transform({tokens}, u -> {ref_parts_sql('u')}.ref)"
     return f"filter({found}, r -> r <> '' and not contains(r, {q(chr(10))}))"

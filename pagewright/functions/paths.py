@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 
 from .binding import apply_text, let, let_struct, q, struct
-from .urls import UrlParts, with_parts
+from .urls import UrlParts, fold_parents_sql, with_parts
 
 # Fixed value: characters that may not appear in a file name.
 UNSAFE_NAME = r'[<>:"/\\|?*\x00-\x1F]'
@@ -46,14 +46,23 @@ def query_to_name_sql(query: str, seed: str) -> str:
         )
 
     def name(pairs: str) -> str:
-        def grouped(keys: str) -> str:
-            regrouped = f"flatten(transform({keys}, k -> filter({pairs}, p -> p.k = k)))"
-            ordered = f"if(size({keys}) < size({pairs}), {regrouped}, {pairs})"
+        def joined(ordered: str) -> str:
             text = f"concat({sanitize_sql('t.k', seed)}, '_', {sanitize_sql('t.v', seed)})"
             return f"array_join(transform({ordered}, t -> {text}), '_')"
 
-        keys = let(f"array_distinct(transform({pairs}, p -> p.k))", grouped)
-        return f"if(size({pairs}) = 0, {short_hash_sql(seed)}, {keys})"
+        def regrouped(by_key: str) -> str:
+            # runs of one key, each cut out once, in the order of their first pair
+            def runs(starts: str) -> str:
+                stop = f"coalesce(get({starts}, j + 1), size({by_key}) + 1)"
+                cut = f"struct({by_key}[s - 1].i as first, slice({by_key}, s, {stop} - s) as items)"
+                return f"flatten(transform(array_sort(transform({starts}, (s, j) -> {cut})), r -> r.items))"
+
+            begins = f"if(i = 0 or {by_key}[i - 1].k <> x.k, i + 1, 0)"
+            starts = f"filter(transform({by_key}, (x, i) -> {begins}), s -> s > 0)"
+            return let(let(starts, runs), joined)
+
+        by_key = f"array_sort(transform({pairs}, (p, i) -> struct(p.k as k, i as i, p.v as v)))"
+        return f"if(size({pairs}) = 0, {short_hash_sql(seed)}, {let(by_key, regrouped)})"
 
     items = f"filter(split({query}, '&'), s -> s <> '')"
     return let(f"transform({items}, i -> {pair('i')})", name)
@@ -115,14 +124,7 @@ def parent_folder_sql(path: str) -> str:
 def segments_sql(path: str) -> str:
     """Segments of a path with '', '.' removed and '..' folded."""
 
-    def fold(segs: str) -> str:
-        folded = (
-            f"aggregate({segs}, cast(array() as array<string>), (acc, s) -> "
-            "if(s = '..', slice(acc, 1, greatest(size(acc) - 1, 0)), array_append(acc, s)))"
-        )
-        return f"if(array_contains({segs}, '..'), {folded}, {segs})"
-
-    return let(f"filter(split({path}, '/'), s -> s not in ('', '.'))", fold)
+    return let(f"filter(split({path}, '/'), s -> s not in ('', '.'))", fold_parents_sql)
 
 
 def start_sql(folder: str) -> str:

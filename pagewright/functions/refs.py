@@ -117,13 +117,16 @@ def _candidates(t: str, kinds: Sequence[str]) -> str:
             style = attr_sql(f"{t}.attrs", "style")
             lists.append(let(style, lambda s: guarded(f"contains({s}, 'url(')", each("style_attr", refs_sql(s)))))
         elif kind == "data_attr":
-            # of attributes with one name the last counts
-            later = f"slice({t}.attrs, i + 2, size({t}.attrs))"
-            held = (
-                f"filter({t}.attrs, (a, i) -> startswith(a.name, 'data-') and "
-                "rlike(a.value, '^(?:/|https?://)') and "
-                f"not exists({later}, b -> b.name = a.name))"
-            )
+            # of attributes with one name the last counts: sorted by name and
+            # place it is the one whose neighbour has another name
+            named = f"filter(transform({t}.attrs, (a, i) -> struct(a.name as name, i as i, a.value as value)), a -> startswith(a.name, 'data-'))"
+
+            def held_sql(by_name: str) -> str:
+                last = f"i + 1 = size({by_name}) or {by_name}[i + 1].name <> a.name"
+                kept = f"filter({by_name}, (a, i) -> ({last}) and rlike(a.value, '^(?:/|https?://)'))"
+                return f"array_sort(transform({kept}, a -> struct(a.i as i, a.value as value)))"
+
+            held = let(f"array_sort({named})", held_sql)
             lists.append(f"transform({held}, a -> {tagged(kind, 'a.value')})")
 
     def joined(parts: list[str]) -> str:

@@ -15,7 +15,7 @@ The steps are separate projections, which keeps each expression shallow.
 from __future__ import annotations
 
 from .binding import let, let_struct, q, struct
-from .css import URL_PIECES, is_ref_sql, ref_parts_sql, sheet_pieces_re
+from .css import URL_PIECES, is_ref_sql, ref_parts_sql
 from .entities import escape_attr_sql, unescape_sql
 from .html import (
     after_name_sql,
@@ -44,8 +44,13 @@ def _piece(raw: str, kind: str = "''", ref: str = "''", pre: str = "''", post: s
     return struct(pre=pre, kind=kind, raw=raw, ref=ref, post=post)
 
 
-def _css_pieces(text: str, pieces_re: str, kind: str) -> str:
+def _css_pieces(text: str, kind: str) -> str:
     """Pieces of style text."""
+    return _ref_pieces(f"regexp_extract_all({text}, {q(URL_PIECES)}, 0)", kind)
+
+
+def _ref_pieces(pieces: str, kind: str) -> str:
+    """References and text of lossless pieces."""
 
     def piece(c: str) -> str:
         def ref(v: str) -> str:
@@ -55,7 +60,7 @@ def _css_pieces(text: str, pieces_re: str, kind: str) -> str:
 
         return f"if({is_ref_sql(c)}, {let(ref_parts_sql(c, kind == 'E'), ref)}, {_piece(c)})"
 
-    return f"transform(regexp_extract_all({text}, {q(pieces_re)}, 0), c -> {piece('c')})"
+    return f"transform({pieces}, c -> {piece('c')})"
 
 
 def page_pieces_sql(html: str, links: bool, static: bool, styles: bool) -> str:
@@ -88,7 +93,7 @@ def page_pieces_sql(html: str, links: bool, static: bool, styles: bool) -> str:
                 cases.append(f"when {spot} then array({one})")
             if styles:
                 quote = f"if(rlike({v}.raw, '^[\"\\']'), '', '\"')"
-                text = _css_pieces(f"{v}.raw", URL_PIECES, "E")
+                text = _css_pieces(f"{v}.raw", "E")
                 cases.append(
                     f"when {v}.attr = 'style' and contains({v}.raw, 'url(') then "
                     f"concat(array({_piece(f'concat({v}.name, {q("=")}, {quote})')}), {text}, array({_piece(quote)}))"
@@ -127,7 +132,7 @@ def page_pieces_sql(html: str, links: bool, static: bool, styles: bool) -> str:
             end = f"array({_piece(tail)})"
             if styles:
                 block = f"{v}.name = 'style' and contains({t}, 'url(')"
-                end = f"if({block}, {_css_pieces(tail, URL_PIECES, 'C')}, {end})"
+                end = f"if({block}, {_css_pieces(tail, 'C')}, {end})"
             whole = f"concat(array({_piece(opening)}), {pieces}" + (f", {end})" if blocks else ")")
             return f"if({v}.head = '', array({_piece(t)}), {whole})"
 
@@ -142,8 +147,9 @@ def page_pieces_sql(html: str, links: bool, static: bool, styles: bool) -> str:
     return f"cast(flatten(transform({tokens}, t -> {token('t')})) as {_PIECE_TYPE})"
 
 
-def sheet_pieces_sql(content: str, nested: bool) -> str:
-    return f"cast({_css_pieces(content, sheet_pieces_re(nested), 'C')} as {_PIECE_TYPE})"
+def sheet_pieces_sql(pieces: str) -> str:
+    """The pieces of a style sheet, references taken apart."""
+    return f"cast({_ref_pieces(pieces, 'C')} as {_PIECE_TYPE})"
 
 
 def joined_pieces_sql(pieces: str, url: str) -> str:

@@ -120,15 +120,26 @@ def _unsplit(scheme: str, netloc: str, path: str, params: str, query: str) -> st
     return let(f"concat({path}, if({params} = ';', '', {params}))", build)
 
 
+def fold_parents_sql(segs: str) -> str:
+    """Resolve ``..`` in an array of segments.  Each ``..`` takes away the one
+    before it and brings in the run up to the next, so what is copied goes by
+    the number of ``..``, not of segments."""
+
+    def runs(at: str) -> str:
+        places = f"transform({at}, (p, k) -> struct(p as at, coalesce(get({at}, k + 1), size({segs}) + 1) as next))"
+        first = f"slice({segs}, 1, {at}[0] - 1)"
+        step = f"concat(slice(acc, 1, greatest(size(acc) - 1, 0)), slice({segs}, r.at + 1, r.next - r.at - 1))"
+        return f"aggregate({places}, {first}, (acc, r) -> {step})"
+
+    at = f"filter(transform({segs}, (s, i) -> if(s = '..', i + 1, 0)), i -> i > 0)"
+    return f"if(array_contains({segs}, '..'), {let(at, runs)}, {segs})"
+
+
 def _fold_dots(path: str) -> str:
     """Resolve '.' and '..' segments; '' becomes '/'."""
 
     def fold(segs: str) -> str:
-        kept = (
-            f"aggregate({segs}, cast(array() as array<string>), (acc, s) -> "
-            "case when s = '..' then slice(acc, 1, greatest(size(acc) - 1, 0)) "
-            "when s = '.' then acc else array_append(acc, s) end)"
-        )
+        kept = let(f"filter({segs}, s -> s <> '.')", fold_parents_sql)
         last = f"element_at({segs}, -1) in ('.', '..')"
         return f"concat(array_join({kept}, '/'), if({last} and size({segs}) > 1, '/', ''))"
 

@@ -30,7 +30,8 @@ def crawl_levels(
     ``links(src_url, dst_url)`` is restricted to ``root`` and freed of excluded
     targets.  URLs that ``verdicts(url, allowed)`` denies are reached but their
     links are not followed.  ``parent`` is the smallest URL of the level before
-    that links to the page.
+    that links to the page.  URLs are reported as given; links and verdicts are
+    matched by their canonical form.
 
     The edges are written once, bucketed by source, so no level shuffles them:
     a level moves only its frontier (broadcast while it is small) and the new
@@ -49,22 +50,22 @@ def crawl_levels(
         kept.filter(~is_excluded("dst_url", exclude))
         .select(canonical_url("src_url").alias("src"), F.col("dst_url").alias("dst"))
         .filter(F.col("src") != F.col("dst"))
-        .distinct()
     )
     if verdicts is not None:
-        denied = verdicts.filter(~F.col("allowed")).select(F.col("url").alias("src")).distinct()
+        denied = verdicts.filter(~F.col("allowed")).select(canonical_url("url").alias("src")).distinct()
         edges = edges.join(denied, "src", "left_anti")
 
     table = f"crawl_edges_{uuid.uuid4().hex}"
     levels = f"{folder}/levels"
     if buckets:
         (
-            edges.repartition(buckets, "src")
-            .write.bucketBy(buckets, "src").sortBy("src")
+            # rows of one source lie together, so removing repeats moves nothing
+            edges.repartition(buckets, "src").distinct()
+            .write.bucketBy(buckets, "src")
             .option("path", f"{folder}/edges").saveAsTable(table)
         )
     else:
-        edges.write.parquet(f"{folder}/edges")
+        edges.distinct().write.parquet(f"{folder}/edges")
     try:
         stored = spark.table(table) if buckets else spark.read.schema(_EDGES).parquet(f"{folder}/edges")
         (
@@ -76,9 +77,10 @@ def crawl_levels(
             frontier = spark.read.schema("url string").parquet(f"{levels}/level={level}")
             seen = spark.read.schema("url string").parquet(levels)
             reached = (
-                stored.join(frontier.withColumnRenamed("url", "src"), "src")
+                # a page is found by its canonical form, whatever form its URL was given in
+                stored.join(frontier.select("url", canonical_url("url").alias("src")), "src")
                 .groupBy(F.col("dst").alias("url"))
-                .agg(F.min("src").alias("parent"))
+                .agg(F.min(frontier["url"]).alias("parent"))
                 .join(seen, "url", "left_anti")
             )
             count = Observation()

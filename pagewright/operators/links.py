@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import let, q
-from ..functions.css import refs_sql, sheet_pieces_re
+from ..functions.css import piece_refs_sql, sheet_pieces
 from ..functions.html import title_sql, tokens_sql
 from ..functions.refs import LINK_KINDS, STATIC_KINDS, page_links_sql
 from ..functions.urls import base_sql, file_ext, is_excluded, is_http, normalize_sql, same_domain, same_domain_sql
@@ -79,13 +79,14 @@ def css_refs(resources: DataFrame, nested: bool = False) -> DataFrame:
 
     ``nested`` also covers rules inside ``@media`` and the like.
     """
-    raws = f"array_distinct({refs_sql('content', sheet_pieces_re(nested))})"
+    raws = f"array_distinct({piece_refs_sql('pieces')})"
     links = let(
         base_sql("url"),
         lambda b: f"transform({raws}, r -> named_struct('raw', r, 'dst_url', {normalize_sql(b, 'r')}))",
     )
     return (
         css_resources(resources)
+        .select("url", sheet_pieces("content", nested).alias("pieces"))
         .select(F.col("url").alias("css_url"), F.explode(F.expr(links)).alias("ref"))
         .select("css_url", "ref.raw", "ref.dst_url")
         .filter(F.col("dst_url").isNotNull() & ~F.col("dst_url").startswith("data:"))
@@ -118,11 +119,16 @@ def exclude_links(links: DataFrame, substrings: Iterable[str], column: str = "ds
     return links.filter(~is_excluded(column, substrings))
 
 
+def is_html(column: str = "content_type") -> Column:
+    """Whether a content type says HTML."""
+    return F.contains(F.lower(column), F.lit("text/html"))
+
+
 def classify_pages(pages: DataFrame) -> DataFrame:
     """``(page_id, url, class)``: ``page``, ``resource`` or ``empty``."""
     kind = (
         F.when(F.coalesce(F.length("html"), F.lit(0)) == 0, F.lit("empty"))
-        .when(F.contains(F.lower("content_type"), F.lit("text/html")), F.lit("page"))
+        .when(is_html(), F.lit("page"))
         .otherwise(F.lit("resource"))
     )
     return pages.select("page_id", "url", kind.alias("class"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import netloc_of
@@ -53,24 +53,29 @@ def retry_plan(
     k-th failure the wait is ``delay * 2^(k-1)``; ``jitter_seed`` adds a
     reproducible 0 to 0.5 s to it.
     """
-    if not 1 <= max_retries <= 62:
-        raise ValueError("max_retries must be between 1 and 62")
+    if max_retries < 1:
+        raise ValueError("max_retries must be at least 1")
     counted = attempts.filter(F.col("attempt").between(1, max_retries))
-    bit = F.expr("shiftleft(1L, cast(attempt as int) - 1)")
     folded = counted.groupBy("url").agg(
         F.min(F.when(F.col("ok"), F.col("attempt"))).alias("first_ok"),
-        F.bit_or(F.when(~F.col("ok"), bit).otherwise(F.lit(0).cast("bigint"))).alias("failed"),
-    )
-    # failures before the first success: mask off the tries from it onwards
-    before = F.expr(
-        "cast(bit_count(if(first_ok is null, failed, failed & (shiftleft(1L, cast(first_ok as int) - 1) - 1))) as int)"
+        # at most max_retries numbers
+        F.collect_set(F.when(~F.col("ok"), F.col("attempt"))).alias("failed"),
     )
+    before = F.filter("failed", lambda a: F.col("first_ok").isNull() | (a < F.col("first_ok")))
     planned = folded.select(
-        "url", before.alias("failures"), F.col("first_ok").isNotNull().alias("done")
+        "url", F.size(before).alias("failures"), F.col("first_ok").isNotNull().alias("done")
     ).withColumn("exhausted", ~F.col("done") & (F.col("failures") >= max_retries))
-    wait = F.lit(float(delay)) * F.pow(F.lit(2.0), F.col("failures") - 1)
+
+    def jitter(k: Column) -> Column:
+        if jitter_seed is None:
+            return F.lit(0.0)
+        return F.pmod(F.xxhash64("url", k, F.lit(jitter_seed)), F.lit(1_000_000)) / 2_000_000.0
+
+    failures = F.col("failures")
+    wait = F.lit(float(delay)) * F.pow(F.lit(2.0), failures - 1) + jitter(failures)
+    total = F.lit(float(delay)) * (F.pow(F.lit(2.0), failures) - 1)
     if jitter_seed is not None:
-        wait = wait + F.pmod(F.xxhash64("url", "failures", F.lit(jitter_seed)), F.lit(1_000_000)) / 2_000_000.0
-    return planned.withColumn(
-        "next_wait", F.when(~F.col("done") & (F.col("failures") > 0), wait)
-    ).withColumn("total_wait", F.lit(float(delay)) * (F.pow(F.lit(2.0), F.col("failures")) - 1))
+        total = total + F.when(
+            failures > 0, F.aggregate(F.sequence(F.lit(1), failures), F.lit(0.0), lambda acc, k: acc + jitter(k))
+        ).otherwise(0.0)
+    return planned.withColumn("next_wait", F.when(~F.col("done") & (failures > 0), wait)).withColumn("total_wait", total)

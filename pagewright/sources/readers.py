@@ -10,27 +10,20 @@ from .. import schemas
 from ..functions.urls import file_ext
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input of fewer splits than cores over all cores.
-
-    Documents are heavy rows, and a small file is a single split.  An input
-    that already has a split per core is left alone, so nothing large is ever
-    shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_pages(spark: SparkSession, path: str, with_meta: bool = False) -> DataFrame:
     """Captured documents: ``page_id, url, html`` and, with ``with_meta``,
-    ``content_type, status_code, headers``."""
-    schema = schemas.PAGES_WITH_META if with_meta else schemas.PAGES
-    return spread(spark.read.schema(schema).parquet(path), "page_id")
+    ``content_type, status_code, headers``.
+
+    Splits follow the file layout and ``spark.sql.files.*``; a caller with one
+    small file repartitions."""
+    return spark.read.schema(schemas.PAGES_WITH_META if with_meta else schemas.PAGES).parquet(path)
 
 
-def stream_pages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+def stream_pages(
+    spark: SparkSession, path: str, files_per_batch: int | None = None, with_meta: bool = False
+) -> DataFrame:
     """Captured documents as they arrive in a folder of parquet files."""
-    reader = spark.readStream.schema(schemas.PAGES)
+    reader = spark.readStream.schema(schemas.PAGES_WITH_META if with_meta else schemas.PAGES)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
@@ -60,12 +53,20 @@ def read_sitemaps(spark: SparkSession, path: str, base_url: str | None = None) -
     """``sitemap_url, body``: a parquet table, or XML files below ``base_url``."""
     if base_url is None:
         return spark.read.schema(schemas.SITEMAPS).parquet(path)
-    name = F.regexp_extract("file", r"([^/]+\.xml)$", 1)
     return _texts(spark, path, "*.xml").select(
-        F.concat(F.lit(base_url.rstrip("/") + "/"), name).alias("sitemap_url"), "body"
+        F.concat(F.lit(base_url.rstrip("/") + "/"), _below(spark, path, "file")).alias("sitemap_url"), "body"
     )
 
 
+def _below(spark: SparkSession, path: str, column: str) -> Column:
+    """The part of a file's place below the folder ``path``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/")
+    # file places are percent-encoded URIs; '+' stands for itself in them
+    place = F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B"))) if column == "file" else F.col(column)
+    bare = F.regexp_replace(place, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    return F.when(F.startswith(bare, F.lit(root + "/")), F.substring(bare, F.lit(len(root) + 2), F.length(bare)))
+
+
 def _text(url: str) -> Column:
     """Bytes as text: style sheets always (broken bytes replaced), other
     assets only where they are text, else NULL."""
@@ -83,9 +84,8 @@ def read_resources(spark: SparkSession, path: str, base_url: str | None = None)
         if isinstance(df.schema["content"].dataType, T.BinaryType):
             df = df.withColumn("content", _text("url"))
         return df.select("url", "content_type", "content")
-    root = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    place = F.substring_index("path", root + "/", -1)
+    place = _below(spark, path, "path")
     kind = F.when(F.lower("path").endswith(".css"), F.lit("text/css")).otherwise(F.lit("application/octet-stream"))
     named = files.select(
         F.concat(F.lit(base_url.rstrip("/") + "/"), place).alias("url"), kind.alias("content_type"), "content"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.urls import canonical_url
-from ..operators.links import link_set
+from ..operators.links import is_html, link_set
 from ..operators.rewrite import rewrite_pages
 from ..sources.state import append_changes
 
@@ -54,17 +54,27 @@ def page_changes(
     pages: DataFrame, root: str | None, exclude: Iterable[str], at: dt.datetime | None, mode: str = "suffix"
 ) -> DataFrame:
     """State changes a set of captured pages amounts to: the pages themselves
-    as visited, what they link to as pending."""
+    as visited, what they link to as pending.
+
+    A page is marked under the URL it was captured by and, where that differs,
+    under its canonical form.  With ``content_type`` and ``status_code`` at hand
+    a capture that is no HTML becomes ``non_html`` and one that failed
+    ``failed``; neither adds links."""
     stamp = F.lit(at) if at is not None else F.current_timestamp()
     empty = F.coalesce(F.length("html"), F.lit(0)) == 0
+    failed = F.col("status_code") >= 400 if "status_code" in pages.columns else F.lit(False)
+    other = ~is_html() if "content_type" in pages.columns else F.lit(False)
+    failed, other = F.coalesce(failed, F.lit(False)), F.coalesce(other, F.lit(False))
+    names = F.array_compact(F.array_distinct(F.array("url", canonical_url("url"))))
     visited = pages.select(
-        canonical_url("url").alias("url"),
+        F.explode(names).alias("url"),
         F.lit("visited").alias("status"),
         stamp.cast("timestamp").alias("last_fetched"),
         F.lit(None).cast("int").alias("level"),
-        F.when(empty, F.lit("empty")).otherwise(F.lit("saved")).alias("outcome"),
+        F.when(failed, F.lit("failed")).when(empty, F.lit("empty")).when(other, F.lit("non_html"))
+        .otherwise(F.lit("saved")).alias("outcome"),
     )
-    pending = link_set(pages, root, exclude, mode).select(
+    pending = link_set(pages.where(~failed & ~other), root, exclude, mode).select(
         F.col("dst_url").alias("url"),
         F.lit("pending").alias("status"),
         F.lit(None).cast("timestamp").alias("last_fetched"),
@@ -81,6 +91,7 @@ def stream_state(
     root: str | None = None,
     exclude: Iterable[str] = (),
     at: dt.datetime | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Fold arriving pages into the change log at ``state_path``.
 
@@ -94,7 +105,7 @@ def stream_state(
     return (
         pages.writeStream.foreachBatch(fold)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -106,17 +117,21 @@ def stream_rewrite(
     out_path: str,
     checkpoint: str,
     root_dir: str = "",
+    mode: str = "suffix",
+    trigger: dict | None = None,
+    **switches: bool,
 ) -> StreamingQuery:
     """Rewrite arriving pages against a fixed table of captured assets, one
-    folder per batch under ``out_path``."""
+    folder per batch under ``out_path``.  ``switches`` go to ``rewrite_pages``;
+    ``trigger`` is the stream's trigger, by default all that is there."""
 
     def rewrite(batch: DataFrame, batch_id: int) -> None:
-        done = rewrite_pages(batch, resource_map, root, root_dir)
+        done = rewrite_pages(batch, resource_map, root, root_dir, mode, **switches)
         done.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return (
         pages.writeStream.foreachBatch(rewrite)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -21,6 +21,7 @@ from .operators.frontier import crawl_report, enqueue, frontier_counts, mark_vis
 from .operators.graph import crawl_levels
 from .operators.integrity import mirror_integrity, relative_targets
 from .operators.links import (
+    asset_refs,
     classify_pages,
     css_refs,
     exclude_links,

@@ -69,6 +69,11 @@ def static_refs(pages: DataFrame) -> DataFrame:
     return extract_links(pages, STATIC_KINDS)
 
 
+def asset_refs(pages: DataFrame) -> DataFrame:
+    """All references of pages to assets: static ones and those of styles."""
+    return extract_links(pages, (*STATIC_KINDS, "style_attr", "style_block"))
+
+
 def css_resources(resources: DataFrame) -> DataFrame:
     """The style sheets among the resources."""
     return resources.filter(file_ext("url") == ".css")

@@ -16,7 +16,7 @@ from ..functions.refs import LINK_KINDS
 from ..operators import frontier, graph, integrity, links, manifest, rewrite, schedule, sitemaps
 from ..operators import robots as robots_ops
 from ..sources import mirror, state
-from ..sources.readers import stream_pages
+from ..sources.readers import read_resources, read_robots, read_sitemaps, stream_pages
 from ..sources.workdir import work_dir
 from ..streaming import jobs
 from . import inputs as i
@@ -112,6 +112,19 @@ def x_css_nested(spark, d):
     return links.css_refs(i.resources(spark, d), nested=True)
 
 
+def x_css_sheets(spark, d):
+    """Sheets that differ from page to page, by number of each reference."""
+    return _sheet_refs(spark, d, False)
+
+
+def x_css_sheets_nested(spark, d):
+    return _sheet_refs(spark, d, True)
+
+
+def _sheet_refs(spark, d, nested):
+    return links.css_refs(i.page_sheets(spark, d), nested).select("css_url", "raw")
+
+
 def x_title(spark, d):
     return links.page_title(i.raw_pages(spark, d)).select("page_id", "title")
 
@@ -318,7 +331,34 @@ def s_state(spark, d):
     held = state.read_state(spark, folder)
     parsed = state.mark_seen(held.seen_sitemaps, i.sitemaps(spark, d))
     state.write_state(folder, held._replace(seen_sitemaps=parsed))
-    return state.read_state(spark, folder).seen_sitemaps
+    held = state.read_state(spark, folder)
+    kept = lambda table, kind, url, value: table.select(F.lit(kind).alias("kind"), F.col(url).alias("url"), value.alias("value"))
+    return (
+        kept(held.seen_sitemaps, "sitemap", "url", F.lit(""))
+        .unionByName(kept(held.url_state, "page", "url", F.concat_ws(" ", "status", "outcome", F.col("level").cast("string"))))
+        .unionByName(kept(held.resource_map, "asset", "url", F.col("local_path")))
+    )
+
+
+def _written(df, purpose):
+    """A table written and known by its place only."""
+    folder = work_dir(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return folder
+
+
+def s_robots(spark, d):
+    return read_robots(spark, _written(i.robots(spark, d), "robots"))
+
+
+def s_sitemaps(spark, d):
+    return read_sitemaps(spark, _written(i.sitemaps(spark, d), "sitemaps"))
+
+
+def s_resources(spark, d):
+    """Bytes read back as text."""
+    raw = i.resources(spark, d).withColumn("content", F.encode("content", "UTF-8"))
+    return read_resources(spark, _written(raw, "resources"))
 
 
 def _page_stream(spark, d):
@@ -368,7 +408,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         u_normalize_pages, u_url_parts, u_resolve, u_predicates, u_sanitize, u_query_name, u_local_path,
-        u_relative_path, u_entities, u_canonicalize, x_tokens, x_all_links, x_link_set, x_static, x_css, x_css_nested,
+        u_relative_path, u_entities, u_canonicalize, x_tokens, x_all_links, x_link_set, x_static, x_css, x_css_nested, x_css_sheets,
+        x_css_sheets_nested, s_robots, s_sitemaps, s_resources,
         x_title, x_interstitial, x_sitemap, x_robots_sitemaps, x_robots_rules, j_internal, j_external, j_excluded,
         j_robots_verdict, j_new_sitemaps, j_seed, j_enqueue, j_classify, j_resolve_cached, j_pending_res, j_missing_res,
         j_integrity, a_levels, a_link_counts, a_frontier_counts, a_sitemap_counts, a_manifest, a_collisions,

@@ -56,6 +56,23 @@ SHEET_BODY = (
     "@media print{p{background:url(/img/i2.png)}} i{b:url(data:x)} /* url(/no.png) */'"
 )
 
+# A sheet per page: rule properties, and what a reader of rules must pass over.
+SHEET_RULES = (
+    "'h' || cast(page_id as varchar(20)) || '{background:url(\"/img/i' || cast(page_id % 13 as varchar(20)) || '.png\")}'",
+    "'@font-face{src:url(../f/' || cast(page_id % 17 as varchar(20)) || '.woff)}'",
+)
+SHEET_NESTED = (
+    "'@media print{p{content:\"}\";} q{b:url(/in/' || cast(page_id % 7 as varchar(20)) || '.png)}}'",
+    "'@supports (a:b){@media x{y{z{w{v{b:url(/deep/' || cast(page_id % 5 as varchar(20)) || '.png)}}}}}}'",
+)
+SHEET_PASSED = (
+    "'/* } url(/c' || cast(page_id as varchar(20)) || '.png) */'", "'@import url(/imp' || cast(page_id as varchar(20)) || '.css);'",
+)
+PAGE_SHEET = f"""case page_id % 3
+ when 0 then {SHEET_NESTED[0]} || {SHEET_RULES[0]} || {SHEET_PASSED[0]} || {SHEET_NESTED[1]} || {SHEET_RULES[1]}
+ when 1 then {SHEET_PASSED[1]} || {SHEET_RULES[1]} || {SHEET_PASSED[0]} || {SHEET_RULES[0]} || {SHEET_NESTED[1]} || {SHEET_NESTED[0]}
+ else {SHEET_RULES[0]} || {SHEET_NESTED[1]} || {SHEET_PASSED[1]} || {SHEET_NESTED[0]} || {SHEET_PASSED[0]} || {SHEET_RULES[1]} end"""
+
 SHEETS = [f"/css/s{i}.css" for i in range(3)]
 # /img/i0.png and /img/h2.png are referenced but not captured
 IMAGES = (
@@ -120,6 +137,12 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A style sheet of its own beside every page."""
+    place = "regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/css/p' || cast(page_id as string) || '.css'"
+    return page_urls(spark, sf_dir).select(F.expr(place).alias("url"), F.expr(PAGE_SHEET).alias("content"))
+
+
 def resource_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured assets and the files they were saved to."""
     return _per_origin(spark, sf_dir, SHEETS + IMAGES).select(

@@ -313,6 +313,15 @@ def oracles() -> dict[str, str]:
             f"with {_RESOURCES}, r as (select url, unnest([{refs}]) as raw from resources where path like '%.css') "
             f"select url as css_url, raw, {_absolute()} as dst_url from r"
         )
+    for name, parts in {"x_css_sheets": i.SHEET_RULES, "x_css_sheets_nested": i.SHEET_RULES + i.SHEET_NESTED}.items():
+        place = "regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/css/p' || page_id || '.css'"
+        found = "regexp_extract_all(" + " || ".join(parts) + ", 'url\\(\\s*[''\"]?(.*?)[''\"]?\\s*\\)', 1)"
+        o[name] = f"select {place} as css_url, unnest({found}) as raw from pages"
+    o["s_robots"] = f"with {_ROBOTS} select host, status_code, body from robots"
+    o["s_sitemaps"] = f"with {_MAPS} select sitemap_url, {i.SITEMAP_BODY} as body from maps"
+    o["s_resources"] = (
+        f"with {_RESOURCES} select url, case when path like '%.css' then 'text/css' else 'image/png' end as content_type, content from resources"
+    )
     title = _decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
     o["x_title"] = f"select page_id, trim(regexp_replace({title}, '\\s+', ' ', 'g')) as title from pages"
     o["x_interstitial"] = "select page_id, page_id % 7 = 2 as interstitial from pages"
@@ -431,11 +440,15 @@ def oracles() -> dict[str, str]:
         "replace(replace(content, 'url(\"/img/i1.png\")', 'url(\"../img/i1.png\")'), 'url(/img/i11.png)', 'url(../img/i11.png)') as content "
         "from resources where path like '%.css'"
     )
-    o["s_state"] = f"with {_MAPS} select sitemap_url as url from maps"
+    o["s_state"] = (
+        f"with {_MAPS}, {_STATE_ROWS}, {_RMAP} select 'sitemap' as kind, sitemap_url as url, '' as value from maps "
+        "union all select 'page', url, concat_ws(' ', status, outcome, cast(level as varchar)) from state "
+        "union all select 'asset', url, local_path from rmap"
+    )
     o["t_links"] = f"with {_link_set()} select page_id, dst_url from targets"
     o["t_frontier"] = f"with {_link_set()} select distinct dst_url as url from targets"
     o["t_state"] = (
-        f"with {_link_set()}, {_PAGES}, u as (select distinct canonical as url from own) "
+        f"with {_link_set()}, {_PAGES}, u as (select canonical as url from own union select url from pages) "
         "select url, 'visited' as status, 'saved' as outcome from u union all "
         "select distinct dst_url, 'pending', null from targets where dst_url not in (select url from u)"
     )

@@ -17,6 +17,10 @@ _BARE = r"^&(" + "|".join(
 ) + ")"
 
 
+# Most references are one of these; they need no search among all names.
+_COMMON = ("amp", "lt", "gt", "quot", "apos", "nbsp")
+
+
 @lru_cache(maxsize=1)
 def _names_sql() -> str:
     # folded to one map literal by the optimizer
@@ -64,7 +68,8 @@ def unescape_sql(text: str) -> str:
         )
         return (
             f"case when not startswith({p}, '&') or {p} = '&' then {p} "
-            f"when rlike({p}, '^&#(?:[0-9]|[xX][0-9a-fA-F])') then {value} "
+            + "".join(f"when {p} = {q(f'&{n};')} then {q(html5[f'{n};'])} " for n in _COMMON)
+            + f"when rlike({p}, '^&#(?:[0-9]|[xX][0-9a-fA-F])') then {value} "
             f"else coalesce({names}[substring({p}, 2)], {bare}) end"
         )
 

@@ -42,8 +42,9 @@ def robots_policy(robots: DataFrame, agent: str) -> DataFrame:
 
     ``read`` tells how the file was met: ``rules``, ``allow`` (no such file) or
     ``deny`` (access refused, server error, never read).  Should a host come
-    with several captures, the largest ``(status_code, body)`` counts; they are
-    merged before anything is parsed.
+    with several captures, the latest by ``captured_at`` counts, and without such
+    a column, or at one time, the largest ``(status_code, body)``; they are merged
+    before anything is parsed.
     """
     status = F.col("status_code")
     met = (
@@ -52,7 +53,8 @@ def robots_policy(robots: DataFrame, agent: str) -> DataFrame:
         .when((status >= 500) | F.col("body").isNull(), F.lit("deny"))
         .otherwise(F.lit("rules"))
     )
-    one = robots.groupBy("host").agg(F.max(F.struct("status_code", "body")).alias("m"))
+    time = ["captured_at"] if "captured_at" in robots.columns else []
+    one = robots.groupBy("host").agg(F.max(F.struct(*time, "status_code", "body")).alias("m"))
     chosen = F.expr(let(groups_sql("body"), lambda g: chosen_group_sql(g, agent)))
     return (
         one.select("host", "m.status_code", "m.body")

@@ -109,6 +109,15 @@ def test_a_hundred_retries(spark):
     assert odd["u"].exhausted and 31 < odd["u"].total_wait <= 33.5 and 16 <= odd["u"].next_wait <= 16.5
 
 
+def test_latest_robots_file_counts(spark):
+    from pagewright.operators.robots import robots_policy
+
+    rows = [("h", 503, None, 1), ("h", 200, "User-agent: *\nDisallow: /x", 2), ("g", 503, None, 2), ("g", 200, "", 1)]
+    robots = spark.createDataFrame(rows, "host string, status_code int, body string, captured_at int")
+    assert {r.host: r["read"] for r in robots_policy(robots, "a").collect()} == {"h": "rules", "g": "deny"}
+    assert {r["read"] for r in robots_policy(robots.drop("captured_at"), "a").collect()} == {"deny"}
+
+
 def test_files_in_sub_folders_keep_their_place(spark, tmp_path):
     for place in ("x/map.xml", "y/ma p+1.xml", "top.xml"):
         (tmp_path / place).parent.mkdir(exist_ok=True)

@@ -6,12 +6,14 @@ smaller id, or earlier in the same one) is covered; covered bytes go.
 Method.  Suffixes are taken at anchors: positions whose ``seed``-byte hash is
 smallest in some window of ``length`` bytes.  Equal windows have equal anchors,
 so nothing is lost, and there are about 2 anchors per ``length - seed`` bytes.
-Suffixes are dealt out by their leading bytes.  Those with leading bytes of
-their own are dropped; of those that agree in all bytes any window of the
-anchor can reach, all but the first are covered as they are.  What remains, one
-suffix per distinct surrounding, gets its bytes, and each bucket is sorted by a
-multikey sort on the following and on the preceding bytes.  Neighbours' common
-prefixes then tell which windows of an anchor have an equal window further up.
+Those with leading bytes of their own are dropped; of those that agree in all
+bytes any window of the anchor can reach, all but the first are covered as they
+are.  What remains, one suffix per distinct surrounding, gets its bytes and is
+range-partitioned at sampled splitters of leading bytes.  Splitters are compared
+on the ``seed`` bytes alone, so what could match never lies across a border.
+Each bucket is sorted by a multikey sort on the following and on the preceding
+bytes; neighbours' common prefixes then tell which windows of an anchor have an
+equal window further up.
 Hot leading bytes (more than ``crowd`` surroundings) are settled by grouping
 window hashes instead, which aggregates before it shuffles; the result is the same.
 
@@ -24,6 +26,7 @@ id orders first.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,7 +175,7 @@ def covered(before: list[bytes], after: list[bytes], place: np.ndarray, length:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """Whole groups of equal seed hash, several to a frame, from sorted rows."""
+    """Whole groups of equal leading bytes, several to a frame, from sorted rows."""
     held: list[pd.DataFrame] = []
     size = 0
     for batch in batches:
@@ -184,7 +187,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         if size < BUCKET:
             continue
         frame = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-        cut = int(np.searchsorted(frame["seed"].to_numpy(), frame["seed"].iat[-1]))
+        cut = bisect_left(frame["lead"].tolist(), frame["lead"].iat[-1])
         if cut:
             yield frame.iloc[:cut]
         held = [frame.iloc[cut:]]
@@ -244,8 +247,8 @@ def _settle_crowd(suffixes: DataFrame, length: int, seed: int) -> DataFrame:
 def _contexts(length: int, seed: int):
     """Per document with open anchors: the bytes around each."""
     back = length - seed
-    names = ["id", "own", "at", "seed", "before", "after"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["id", "own", "at", "lead", "before", "after"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches):
         rows: list[list] = [[] for _ in names]
@@ -257,9 +260,8 @@ def _contexts(length: int, seed: int):
             for row in range(batch.num_rows):
                 key, own = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 text = unpack(batch.column(2)[row].as_py())
-                held = batch.column(3)[row].values
-                for at, mark in zip(held.field(0).to_pylist(), held.field(1).to_pylist()):
-                    values = (key, own, at, mark, text[max(0, at - back):at][::-1], text[at:at + length])
+                for at in batch.column(3)[row].values.to_pylist():
+                    values = (key, own, at, text[at:at + seed], text[max(0, at - back):at][::-1], text[at:at + length])
                     for x, value in zip(rows, values):
                         x.append(value)
                 if len(rows[0]) >= 20_000:
@@ -312,11 +314,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, crow
         .withColumn("first", F.rank().over(earlier) == 1)
         .withColumn("n", F.count(F.when(F.col("first"), 1)).over(Window.partitionBy("seed")))
         .where("not first or n > 1")
-        .select("id", F.shiftright("spot", SPOT_BITS).alias("own"), at.alias("at"), "seed", "first", (F.col("n") > crowd).alias("hot"))
+        .select("id", F.shiftright("spot", SPOT_BITS).alias("own"), at.alias("at"), "first", (F.col("n") > crowd).alias("hot"))
         .groupBy("id", "own").agg(
             F.collect_list(F.when(~F.col("first"), F.col("at"))).alias("settled"),
-            F.collect_list(F.when(F.col("first") & ~F.col("hot"), F.struct("at", "seed"))).alias("cold"),
-            F.collect_list(F.when(F.col("first") & F.col("hot"), F.struct("at", "seed"))).alias("crowded"),
+            F.collect_list(F.when(F.col("first") & ~F.col("hot"), F.col("at"))).alias("cold"),
+            F.collect_list(F.when(F.col("first") & F.col("hot"), F.col("at"))).alias("crowded"),
         ),
         "anchors",
     )
@@ -325,11 +327,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, crow
     def suffixes(which: str) -> DataFrame:
         wanted = marks.where(F.size(which) > 0).select("id", "own", which)
         return _packed(docs).join(wanted, ["id", "own"]).select("id", "own", "packed", which).mapInArrow(
-            _contexts(length, seed), "id bigint, own bigint, at bigint, seed bigint, before binary, after binary"
+            _contexts(length, seed), "id bigint, own bigint, at bigint, lead binary, before binary, after binary"
         )
 
     cold = (
-        suffixes("cold").repartition("seed").sortWithinPartitions("seed").mapInArrow(_settle_bucket(length, seed), ranges)
+        # splitters are sampled leading bytes, so suffixes that begin alike never part
+        suffixes("cold").repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_settle_bucket(length, seed), ranges)
     )
     parts = cold
     if not marks.where(F.size("crowded") > 0).isEmpty():

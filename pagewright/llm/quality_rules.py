@@ -32,11 +32,12 @@ LEAST = 200
 #: Share of rows a concentration step keeps, and the number of steps.
 KEEP, STEPS = 0.75, 3
 #: Squared distance beyond which a text is rejected.
-CUTOFF = 80.0
+CUTOFF = 40.0
 #: Words at which a text's deviation counts half: short texts vary by chance.
 DAMP = 60.0
-#: Smallest standard deviation of each statistic, in its own unit.
-FLOOR = np.array([0.05, 0.05, 0.03, 0.03, 0.05])
+#: Smallest standard deviation of each statistic, in its own unit; digits and
+#: repeats vary much among clean texts, and the base rules see to repeats.
+FLOOR = np.array([0.05, 0.05, 0.03, 0.10, 0.10])
 FEATURES = len(FLOOR)
 #: Median of a chi-square law with as many degrees of freedom as statistics.
 CHI_MEDIAN = 4.351

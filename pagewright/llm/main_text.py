@@ -35,6 +35,8 @@ SILENT = frozenset(
     "head script style noscript template iframe object embed canvas svg math audio video map form button select option "
     "textarea input nav footer aside menu dialog".split()
 )
+#: Silent elements that do not end the line they stand in.
+QUIET = frozenset(["script", "style", "noscript", "template"])
 CONTENT = frozenset(["article", "main"])
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 NAMES = frozenset(
@@ -91,7 +93,7 @@ class Lines(HTMLParser):
             if not any(key in ("class", "id", "role", "hidden", "style", "aria-hidden") for key, _ in attrs):
                 # plain inline elements change nothing but the count of tags
                 return
-        else:
+        elif tag not in QUIET:
             self.cut()
             for closes in SAME_KIND.get(tag, ()) if tag in SAME_KIND else ("p",):
                 for at in range(len(self.open) - 1, -1, -1):
@@ -117,6 +119,8 @@ class Lines(HTMLParser):
             if self.open[at][0] == tag:
                 if tag in INLINE:
                     del self.open[at]
+                elif tag in QUIET:
+                    del self.open[at:]
                 else:
                     self._close(at)
                 return

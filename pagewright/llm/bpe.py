@@ -29,7 +29,7 @@ from .common import per_text
 #: Words beyond which the pair ranks are kept in a heap.
 LONG = 256
 #: Words a task remembers before it starts anew.
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 
 def byte_symbols() -> list[str]:

@@ -15,7 +15,7 @@ from ..operators.lookup import lookup
 from ..sources.workdir import work_dir
 
 #: Bytes of text that one numpy pass holds; a longer text is one pass of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Odd multiplier of the polynomial hashes and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -60,8 +60,8 @@ def ascii_lower(column: Column) -> Column:
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """Runs of rows (first, end, texts as bytes) of about ``limit`` bytes; null is empty."""
-    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_binary())
+    if pa.types.is_string(column.type):
+        column = column.cast(pa.binary())  # a view
     first, held, size = 0, [], 0
     for n, value in enumerate(column):
         text = value.as_py() or b""
@@ -80,23 +80,29 @@ def per_text(
     fields: Sequence[tuple[str, str]],
     keep: Sequence[str | Column] = (),
     column: str | Column = "text",
+    within: tuple[str, str] | None = None,
 ) -> DataFrame:
     """One output row per row of ``docs``: the ``keep`` columns and ``fields``
     (name, type), computed from whole texts.  ``make()`` runs once per task and
-    returns the function from a list of texts to one sequence per field."""
+    returns the function from a list of texts to one sequence per field.
+    ``within`` names a kept struct and its text field, where texts that are kept
+    anyway need not be sent twice."""
     text = F.col(column) if isinstance(column, str) else column
-    source = docs.select(*keep, text.cast("string").alias("__text"))
-    schema = T.StructType(
-        source.schema.fields[:-1] + [T.StructField(n, T.DataType.fromDDL(t), True) for n, t in fields]
-    )
+    source = docs.select(*keep) if within else docs.select(*keep, text.cast("string").alias("__text"))
+    kept_fields = source.schema.fields if within else source.schema.fields[:-1]
+    schema = T.StructType(kept_fields + [T.StructField(n, T.DataType.fromDDL(t), True) for n, t in fields])
+    if within:
+        place = source.columns.index(within[0])
+        part = source.schema[within[0]].dataType.names.index(within[1])
     types = [ARROW[t] for _, t in fields]
     names = schema.fieldNames()
 
     def run(batches):
         compute = make()
         for batch in batches:
-            kept = batch.columns[:-1]
-            for first, end, texts in text_slices(batch.columns[-1]):
+            kept = batch.columns if within else batch.columns[:-1]
+            held = batch.columns[place].flatten()[part] if within else batch.columns[-1]
+            for first, end, texts in text_slices(held):
                 made = compute(texts)
                 arrays = [c.slice(first, end - first) for c in kept]
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(made, types)]

@@ -236,6 +236,7 @@ def drop_leaks(
 
     columns = docs.columns
     for held in benchmark_blocks(benchmark, n, similarity, radius, block):
-        whole = docs.select(F.struct(*columns).alias("row"), "text")
-        docs = per_text(whole, tester(held), [("leaks", "boolean")], ["row"]).where("not leaks").select("row.*")
+        whole = docs.select(F.struct(*columns).alias("row"))
+        found = per_text(whole, tester(held), [("leaks", "boolean")], ["row"], within=("row", "text"))
+        docs = found.where("not leaks").select("row.*")
     return docs

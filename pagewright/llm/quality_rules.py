@@ -104,9 +104,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
 
-def text_statistics(docs: DataFrame, keep=()) -> DataFrame:
+def text_statistics(docs: DataFrame, keep=(), within=None) -> DataFrame:
     """``keep``, the base counts and the statistics ``z`` per row."""
-    return per_text(docs, _statistics, COUNTS + STATISTICS, keep)
+    return per_text(docs, _statistics, COUNTS + STATISTICS, keep, within=within)
 
 
 # --- minimum covariance determinant -------------------------------------------
@@ -222,6 +222,6 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
     columns = docs.columns
     stats = materialize(text_statistics(docs, ["lang", "source"]), "statistics")
-    whole = docs.select(F.struct(*columns).alias("row"), "text", "lang", "source")
-    rows = text_statistics(whole, ["row", "lang", "source"])
+    whole = docs.select(F.struct(*columns).alias("row"), "lang", "source")
+    rows = text_statistics(whole, ["row", "lang", "source"], ("row", "text"))
     return judge(rows, fit_rules(stats), cutoff).where("kept").select("row.*")

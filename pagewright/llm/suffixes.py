@@ -352,7 +352,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(batches, length: int, back: int):
+def _cut(batches, length: int, back: int, as_text: bool):
     """Lengths, removed bytes, runs and what remains, from (id, packed, settled, spans)."""
     for batch in batches:
         out: list[list] = [[] for _ in range(5)]
@@ -373,26 +373,27 @@ def _cut(batches, length: int, back: int):
                     parts.append(data[end:low])
                     end = high
                 rest = b"".join([*parts, data[end:]])
-            for x, value in zip(out, (len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest if runs else None)):
+            shown = (rest.decode("utf-8", "ignore") if as_text else rest) if runs else None
+            for x, value in zip(out, (len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), shown)):
                 x.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary())
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[4:], *(pa.array(x, k) for x, k in zip(out, kinds))],
             names=[*batch.schema.names[4:], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, crowd: int = CROWD, keep=("doc_id",)) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, crowd: int = CROWD, keep=("doc_id",), as_text: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text) the ``keep`` columns, n_bytes,
     n_removed, n_spans, kept_sha256, and ``kept``, the remaining bytes where any
-    were removed."""
+    were removed (``as_text``: without characters that a cut splits)."""
     spans = repeated_spans(docs, length, seed, crowd)
     rows = _packed(docs.withColumn("__keep", F.struct(*keep)), [F.col("__keep")])
     known = rows.join(spans, ["id", "own"], "left").select("id", "packed", "settled", "spans", "__keep.*")
     schema = T.StructType(known.schema.fields[4:])
-    for name, kind in (("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string"), ("kept", "binary")):
+    for name, kind in (("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string"), ("kept", "string" if as_text else "binary")):
         schema = schema.add(name, T.DataType.fromDDL(kind))
-    return known.mapInArrow(lambda batches: _cut(batches, length, length - seed), schema)
+    return known.mapInArrow(lambda batches: _cut(batches, length, length - seed, as_text), schema)
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
@@ -401,18 +402,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, crowd:
     a cut splits goes with it."""
     columns = docs.columns
     named = docs.select(F.struct(*columns).alias("row"), "doc_id", "text")
-    cut = remove_repeats(named, length, seed, crowd, ["row", "text"])
-
-    def restore(batches):
-        for batch in batches:
-            kept = [None if x is None else x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["row", "kept"])
-
-    schema = T.StructType([cut.schema["row"], T.StructField("kept", T.StringType())])
-    touched = (
-        cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
-        .select("row", "kept").mapInArrow(restore, schema)
-    )
+    cut = remove_repeats(named, length, seed, crowd, ["row"], as_text=True)
+    touched = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
     fresh = {"text": F.coalesce("kept", F.col("row.text"))}
     if "n_chars" in columns:
         chars = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("row.n_chars"))

@@ -5,8 +5,11 @@ into lines.  A line has its text and the number of tags in it; the ratio of the
 two is high in articles and low in menus.  Ratios are smoothed along the page
 by a Gaussian and lines at or above a threshold form the content regions.
 Lines inside elements that say what they are (navigation, footers, forms,
-adverts, notices, comments ...) have no ratio; lines inside ``article`` or
-``main`` are content whatever their ratio.
+adverts, notices, comments ...) have no ratio.  Regions widen to the block
+around them: an outermost ``article`` or ``main`` that a region reaches is
+content as a whole, and a line whose own ratio reaches the threshold takes the
+other lines of its ``div``, ``section`` or page (headings, list items) along,
+except those that are mostly links.
 
 Defined cases: null or blank html gives empty text; unclosed elements end with
 their parent; a page without elements is one region; repeated rows are alike.
@@ -38,6 +41,10 @@ SILENT = frozenset(
 #: Silent elements that do not end the line they stand in.
 QUIET = frozenset(["script", "style", "noscript", "template"])
 CONTENT = frozenset(["article", "main"])
+#: Elements a region widens to; lines outside all of them have the page as their block.
+GROUPS = frozenset(["article", "main", "section", "div"])
+#: Share of a line's text inside links beyond which a block does not take it along.
+LINKED = 0.5
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar "
@@ -61,30 +68,40 @@ def _named(attrs: dict[str, str]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, inside content) per line of a page."""
+    """Collects (text, tags, inside content, block, share of links) per line of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # tag, silent, content
+        self.lines: list[tuple[str, int, bool, int, float]] = []
+        self.open: list[tuple[str, bool, bool, int]] = []  # tag, silent, content, block
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.blocks = self.linked = 0
+        self.link: int | None = None  # elements open around the link
 
-    def _state(self) -> tuple[bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False)
+    def _state(self) -> tuple[bool, bool, int]:
+        return self.open[-1][1:] if self.open else (False, False, 0)
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self._state()[1]))
-        self.parts, self.tags = [], 0
+            _, content, block = self._state()
+            self.lines.append((text, self.tags, content, block, self.linked / len("".join(text.split()))))
+        self.parts, self.tags, self.linked = [], 0, 0
 
     def _close(self, at: int) -> None:
         self.cut()
+        self._drop(at)
+
+    def _drop(self, at: int) -> None:
         del self.open[at:]
+        if self.link is not None and at < self.link:
+            # a link left open ends with the element around it
+            self.link = None
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag == "a":
+            self.link = len(self.open)
         if tag in INLINE and tag not in SILENT:
             if tag == "br":
                 self.parts.append(" ")
@@ -104,23 +121,28 @@ class Lines(HTMLParser):
                         break
         if tag in VOID:
             return
-        silent, content = self._state()
+        silent, content, block = self._state()
         if tag in CONTENT:
             # an element left open before it does not hide an article
-            inside = any(t in CONTENT for t, _, _ in self.open)
+            inside = any(t in CONTENT for t, *_ in self.open)
             silent, content = (silent, content) if inside else (False, True)
         named = _named({k: v or "" for k, v in attrs}) and tag not in CONTENT and tag not in ("html", "body")
         header = tag == "header" and not content
-        self.open.append((tag, silent or tag in SILENT or named or header, content and not named))
+        if tag in GROUPS and not (content and self._state()[1]):
+            self.blocks += 1
+            block = self.blocks
+        self.open.append((tag, silent or tag in SILENT or named or header, content and not named, block))
 
     def handle_endtag(self, tag):
         self.tags += 1
+        if tag == "a":
+            self.link = None
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 if tag in INLINE:
                     del self.open[at]
                 elif tag in QUIET:
-                    del self.open[at:]
+                    self._drop(at)
                 else:
                     self._close(at)
                 return
@@ -139,6 +161,8 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self._state()[0]:
             self.parts.append(data)
+            if self.link is not None:
+                self.linked += len("".join(data.split()))
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -158,10 +182,15 @@ def main_text(html: str) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    if any(inside for _, _, inside in lines):
-        return "\n".join([text for text, _, inside in lines if inside])
-    ratios = smooth(np.array([len(text) / max(tags, 1) for text, tags, _ in lines]))
-    keep = ratios >= min(THRESHOLD * ratios.std(), ratios.max())
+    own = np.array([len(text) / max(tags, 1) for text, tags, *_ in lines])
+    ratios = smooth(own)
+    least = min(THRESHOLD * ratios.std(), ratios.max())
+    keep = ratios >= least
+    inside = np.array([line[2] for line in lines])
+    block = np.array([line[3] for line in lines])
+    text = np.array([line[4] for line in lines]) <= LINKED
+    keep |= inside & np.isin(block, block[keep & inside])
+    keep |= ~inside & text & np.isin(block, block[keep & ~inside & text & (own >= least)])
     return "\n".join([line[0] for line, k in zip(lines, keep) if k])
 
 

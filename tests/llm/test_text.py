@@ -181,3 +181,20 @@ def test_main_text(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in extract_pages(pages).collect()}
     assert got == {k: (t, len(t)) for k, (_, t) in enumerate(PAGES)}
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+def test_regions_decide_with_and_without_article():
+    prose_ = [(f"p{k} " + "long text here " * 20).strip() for k in range(3)]
+    items = [f"entry {k:02d}" for k in range(10)]
+    body = "<h2>Head</h2>" + "".join(f"<p>{p}</p>" for p in prose_) + "<h3>List</h3><ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>"
+    whole = "\n".join(["Head", *prose_, "List", *items])
+    menu = "<div><ul>" + "".join(f"<li><a href=/{k}>Go {k}</a></li>" for k in range(12)) + "</ul></div>"
+    # headings and lists stay with their text in a block of any kind, or in none; menus without a name go
+    for page in (f"<div>{body}</div>", f"<section>{body}</section>", body, f"<article>{body}</article>", f"<main><div>{body}</div></main>"):
+        assert main_text(page) == whole
+        assert main_text(menu + page + menu) == whole
+    # text outside an article is judged by the same regions, and an article that none reaches is no content
+    card = "<article><h3><a href=/x>Card</a></h3></article>"
+    assert main_text(card + menu + f"<div>{body}</div>" + menu + card) == whole
+    # a link that is left open ends with its element
+    assert main_text(f"<div><p><a href=/x>{prose_[0]}</p><p>{prose_[1]}</p><ul><li>one<li>two</ul></div>") == "\n".join([*prose_[:2], "one", "two"])

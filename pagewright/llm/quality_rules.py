@@ -6,6 +6,10 @@ start from medians and median absolute deviations, then repeat concentration
 steps, each keeping the 75 % of rows that lie nearest and taking their mean and
 covariance.  A text is rejected if its squared Mahalanobis distance, scaled so
 that the group's median is the one of a chi-square law, is beyond ``cutoff``.
+Digits and repeats are absent from most texts and add nothing to the median
+distance, so the median is held against three degrees of freedom; the cutoff is
+a quantile with all five, for which outliers have to answer.  Rows of equal
+statistics count once in the estimates, so that copies do not narrow them.
 
 Every step is one aggregation over a narrow table of statistics of all rows;
 what a group keeps is a few numbers.  Groups of less than ``least`` rows are
@@ -31,16 +35,18 @@ MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 LEAST = 200
 #: Share of rows a concentration step keeps, and the number of steps.
 KEEP, STEPS = 0.75, 3
-#: Squared distance beyond which a text is rejected.
-CUTOFF = 40.0
+#: Squared distance beyond which a text is rejected: one in a million of a
+#: chi-square law with as many degrees of freedom as statistics.
+CUTOFF = 35.89
 #: Words at which a text's deviation counts half: short texts vary by chance.
-DAMP = 60.0
+DAMP = 500.0
 #: Smallest standard deviation of each statistic, in its own unit; digits and
 #: repeats vary much among clean texts, and the base rules see to repeats.
-FLOOR = np.array([0.05, 0.05, 0.03, 0.10, 0.10])
+FLOOR = np.array([0.05, 0.02, 0.03, 0.30, 0.20])
 FEATURES = len(FLOOR)
-#: Median of a chi-square law with as many degrees of freedom as statistics.
-CHI_MEDIAN = 4.351
+#: Median of a chi-square law with three degrees of freedom, and the least scale:
+#: a group whose rows hardly differ is judged by the floors.
+CHI_MEDIAN, LEAST_SCALE = 2.366, 0.05
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -169,7 +175,8 @@ def fit_rules(stats: DataFrame, least: int = LEAST, keep: float = KEEP, steps: i
     """Groups and their estimates from a written table of statistics; texts
     that fail the base rules do not take part."""
     levels = materialize(_levels(stats, least), "levels")
-    rows = _with_judge(stats.where(~base_failed()), levels)
+    rows = _with_judge(stats.where(~base_failed()), levels).select("judge", "n_words", "z").distinct()
+    rows = materialize(rows, "distinct")
     # medians, then spreads around them: the robust start
     centre = rows.groupBy("judge").agg(
         F.array(*[F.percentile_approx(F.col("z")[k], 0.5, 2000) for k in range(FEATURES)]).alias("centre")
@@ -194,7 +201,7 @@ def fit_rules(stats: DataFrame, least: int = LEAST, keep: float = KEEP, steps: i
         moments = kept.groupBy("judge").agg(F.first("centre").alias("centre"), F.count(F.lit(1)).alias("n"), *sums)
         model = materialize(moments.mapInPandas(_solve, MODEL), "estimates")
     scale = rows.join(model, "judge").groupBy("judge").agg(F.percentile_approx(_distance(), 0.5, 2000).alias("middle"))
-    model = model.join(scale, "judge").withColumn("scale", F.greatest(F.col("middle") / CHI_MEDIAN, F.lit(1.0))).drop("middle")
+    model = model.join(scale, "judge").withColumn("scale", F.greatest(F.col("middle") / CHI_MEDIAN, F.lit(LEAST_SCALE))).drop("middle")
     return levels, materialize(model, "model")
 
 

@@ -40,6 +40,17 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert not any(got[1000 + k].kept for k in range(60)) and not any(got[1000 + k].base_failed for k in range(60))
 
 
+def test_menus_go_and_good_texts_stay(spark, sf_dir):
+    folder = sf_dir.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    menus = {r.doc_id for r in docs.where(F.size(F.split("text", r" \| ")) > 5).collect()}
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    got = [r for r in quality_verdicts(docs).collect() if not r.base_failed]
+    gone = [r.kept for r in got if r.doc_id in menus]
+    assert len(gone) > 20 and sum(gone) <= 0.05 * len(gone)
+    assert all(r.kept for r in got if r.doc_id in good)
+
+
 def test_hinge_and_curve_fit_separable_rows():
     rng = np.random.default_rng(0)
     labels = rng.integers(0, 2, 400)

@@ -12,7 +12,9 @@ groups is pruned.  With 8 blocks and radius 2 a run has at most 65,536 members
 whatever the size of the corpus.
 
 Only links that join two parts of a run are kept (a spanning forest), so large
-groups of copies cost as many rows as members.
+groups of copies cost as many rows as members.  Where links are checked for
+similarity and some of a group fail, its members are searched again for all
+pairs whose parts are not yet joined, so that a failed link hides no other.
 
 Defined cases: null or blank text has fingerprint zero and links like any
 other; repeated rows share their fingerprint; a null doc_id is kept and takes
@@ -148,6 +150,19 @@ class Forest:
             self.links += zip(a[first].tolist(), b[first].tolist())
 
 
+class Apart(Forest):
+    """Collects every pair across given parts instead of joining them."""
+
+    def __init__(self, parts: np.ndarray) -> None:
+        super().__init__(len(parts))
+        self.root = np.unique(parts, return_inverse=True)[1]
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = self.root[a] != self.root[b]
+        self.pairs.append((a[apart], b[apart]))
+
+
 def _hierarchy(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per level from members to few nodes: the mask of shared bits and the
     pattern on it."""
@@ -177,6 +192,16 @@ def link_run(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return forest.links
 
 
+def open_pairs(codes: np.ndarray, parts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of one run (codes in Gray order) at distance ``radius`` or less
+    that lie in different ``parts``."""
+    apart = Apart(parts)
+    _link_within(codes, _hierarchy(codes), apart, radius)
+    a, b = (np.concatenate(x) for x in zip(*apart.pairs))
+    keys = np.unique(a * len(codes) + b)
+    return keys // len(codes), keys % len(codes)
+
+
 def _link_within(codes: np.ndarray, levels: list, forest: Forest, radius: int) -> None:
     n = len(codes)
     # neighbours in rank first: most groups are one part after this
@@ -268,6 +293,36 @@ def near_links(fps: DataFrame, radius: int = 2, blocks: int = 8, reach: int | No
     )
 
 
+def _search_open(radius: int):
+    """Pairs of each run that lie in different parts; a group of rows is one run."""
+
+    def search(rows: pa.Table) -> pa.Table:
+        fps = rows.column("fp").to_numpy().view(np.uint64)
+        order = np.argsort(rows.column("rank").to_numpy().view(np.uint64))
+        fps, parts = fps[order], rows.column("part").to_numpy()[order]
+        a, b = open_pairs(fps, parts, radius) if len(fps) > 1 else ([], [])
+        u, v = fps[a].view(np.int64) if len(a) else [], fps[b].view(np.int64) if len(b) else []
+        return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+
+    return search
+
+
+def missed_links(links: DataFrame, good: DataFrame, radius: int, blocks: int, reach: int | None) -> DataFrame:
+    """Pairs (u, v) within reach that ``links`` left out because a link that
+    proved not ``good`` had joined their groups already."""
+    groups = components(links)
+    parts = components(good).withColumnRenamed("root", "part")
+    rows = groups.join(parts, "node", "left").select("node", "root", F.coalesce("part", "node").alias("part"))
+    rows = materialize(rows, "parts")
+    # only groups that fell apart can have lost a link
+    broken = rows.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("root")
+    rows = materialize(lookup(rows, broken, "root", "inner").select(F.col("node").alias("fp"), "part"), "broken")
+    entries = rows.select("fp").mapInArrow(_entries(blocks, radius), "arrangement int, run bigint, rank bigint, fp bigint")
+    found = lookup(entries, rows, "fp", "inner").groupBy("arrangement", "run").applyInArrow(_search_open(reach or radius), "u bigint, v bigint")
+    known = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return found.distinct().join(known, ["u", "v"], "left_anti")
+
+
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the ``n``-word shingles."""
     words = text.lower().split()
@@ -291,7 +346,6 @@ def _alike(similarity: float):
 def alike_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
     """Of ``links``, those whose fingerprints' first documents have a Jaccard
     similarity of shingles of at least ``similarity``."""
-    links = materialize(links.distinct(), "links")
     ends = links.select(F.col("u").alias("fp")).unionByName(links.select(F.col("v").alias("fp"))).distinct()
     firsts = nodes.join(ends, "fp", "left_semi").select("fp", F.col("least").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(firsts, "doc_id").dropDuplicates(["fp"])
@@ -312,7 +366,10 @@ def near_components(
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     links = near_links(nodes, radius, blocks, reach)
     if similarity is not None:
-        links = alike_links(links, nodes, docs, n, similarity)
+        links = materialize(links.distinct(), "links")
+        good = materialize(alike_links(links, nodes, docs, n, similarity), "alike")
+        more = materialize(missed_links(links, good, radius, blocks, reach), "missed")
+        links = good.unionByName(alike_links(more, nodes, docs, n, similarity))
     parts = components(links).withColumnRenamed("node", "fp")
     rooted = nodes.join(parts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

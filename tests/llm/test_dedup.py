@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -6,10 +7,10 @@ import pytest
 import xxhash
 
 from pagewright.llm.common import components
-from pagewright.llm.simhash import NEAR, drop_near_copies, gray_rank, link_run, near_components
+from pagewright.llm.simhash import NEAR, arrange, arrangements, drop_near_copies, fingerprint, gray_rank, link_run, near_components, open_pairs, shingle_set
 from pagewright.llm.suffixes import drop_repeats, remove_repeats
 
-from .conftest import edge_rows
+from .conftest import edge_rows, prose
 
 
 def brute_repeats(rows, length):
@@ -117,3 +118,45 @@ def test_one_of_each_group_stays(edge_docs, no_docs):
     assert ids.count(4) == 1 and not {5, 6, 12} & set(ids)
     assert {7, 8, 9, 14, 15, 18} <= set(ids) and ids.count(None) == 2
     assert drop_near_copies(no_docs, **NEAR).count() == 0
+
+
+def variants(groups=20, members=14):
+    """Groups of variants of 120 words whose similarities lie about 0.8."""
+    rows = []
+    for g in range(groups):
+        rng = random.Random(g)
+        base = prose(1000 + g, 120).split()
+        for m in range(members):
+            words = list(base)
+            for k in rng.sample(range(120), rng.randint(1, 4)):
+                words[k] = f"v{g}x{m}y{k}"
+            rows.append((g * members + m, " ".join(words)))
+    return rows
+
+
+def test_open_pairs_are_all_pairs_across_parts():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, size=4, dtype=np.uint64)
+    codes = base[rng.integers(0, 4, 400)]
+    for _ in range(4):
+        codes = codes ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    codes = np.unique(codes)
+    codes = codes[np.argsort(gray_rank(codes))]
+    parts = rng.integers(0, 3, len(codes))
+    want = (np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 10) & (parts[:, None] != parts[None, :])
+    assert {(min(p), max(p)) for p in zip(*map(np.ndarray.tolist, open_pairs(codes, parts, 10)))} == {(a, b) for a, b in np.argwhere(want).tolist() if a < b}
+
+
+def test_a_failed_link_hides_no_other(spark):
+    rows = variants()
+    fps = np.array([fingerprint(t.encode(), 5) for _, t in rows], dtype=np.uint64)
+    sets = [set(shingle_set(t.encode(), 5).tolist()) for _, t in rows]
+    leads = [arrange(fps, order) >> np.uint64(free) for order, free in arrangements(NEAR["blocks"], NEAR["radius"])]
+    pairs = [
+        (a, b) for a in range(len(rows)) for b in range(a)
+        if int(fps[a] ^ fps[b]).bit_count() <= NEAR["reach"] and any(x[a] == x[b] for x in leads)
+        and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_components(docs, **NEAR).collect()}
+    assert len(pairs) > 50 and [p for p in pairs if got[p[0]] != got[p[1]]] == []

@@ -185,18 +185,23 @@ def encode_texts(docs: DataFrame, path: str, keep=("doc_id",)) -> DataFrame:
     return per_text(docs, make, [("n_tokens", "bigint"), ("ids", "array<int>"), ("decoded", "string")], keep)
 
 
+def row_digests(bpe: WordBpe, text: str) -> tuple[int, str, str]:
+    """Number of tokens, digest of the ids and digest of what the ids decode to."""
+    count, ids, _ = bpe.encode(text)
+    decoded = bpe.decode([int(x) for x in ids.split()])
+    return count, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
 def encode_digests(docs: DataFrame, path: str, keep=("doc_id",)) -> DataFrame:
     """``keep``, n_tokens and the digests of ids and decoded text per row; the
     lists themselves never leave the task."""
 
     def make():
         bpe = word_bpe(path)
-        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
         def compute(texts: list[bytes]):
-            # the names gathered while encoding are what decode() gives for the ids
-            rows = [bpe.encode(t.decode()) for t in texts]
-            return [[r[0] for r in rows], [digest(r[1]) for r in rows], [digest(r[2]) for r in rows]]
+            rows = [row_digests(bpe, t.decode()) for t in texts]
+            return [[r[k] for r in rows] for k in range(3)]
 
         return compute
 

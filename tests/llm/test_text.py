@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pagewright.llm.bpe import WordBpe, encode_digests, encode_texts
+from pagewright.llm.bpe import WordBpe, encode_digests, encode_texts, row_digests
 from pagewright.llm.chat import chat_digests, escape, escape_role, unescape, unescape_role
 from pagewright.llm.decontaminate import drop_leaks, find_leaks, weighted_jaccard
 from pagewright.llm.licenses import PASSAGES, PHRASES, WORD, license_scan
@@ -198,3 +198,11 @@ def test_regions_decide_with_and_without_article():
     assert main_text(card + menu + f"<div>{body}</div>" + menu + card) == whole
     # a link that is left open ends with its element
     assert main_text(f"<div><p><a href=/x>{prose_[0]}</p><p>{prose_[1]}</p><ul><li>one<li>two</ul></div>") == "\n".join([*prose_[:2], "one", "two"])
+
+
+def test_decoded_digest_comes_from_the_ids(vocab):
+    bpe = WordBpe(vocab("word_bpe_49k.json"))
+    ids = [int(x) for x in bpe.encode("one two three")[1].split()]
+    bpe.names[ids[-1]] = "other"
+    want = " ".join([*(bpe.names[i] for i in ids[:-1]), "other"])
+    assert row_digests(bpe, "one two three")[2] == hashlib.sha256(want.encode()).hexdigest()

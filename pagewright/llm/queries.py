@@ -15,6 +15,7 @@ from .quality_rules import quality_verdicts
 from .simhash import hex_digits, near_components
 from .suffixes import remove_repeats
 from .token_files import token_digests
+from .whitening import whiten
 
 
 def vocabulary(name: str) -> str:
@@ -68,6 +69,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash_components": op2_simhash_components,
@@ -79,5 +84,6 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 ORACLES: dict[str, str] = {}

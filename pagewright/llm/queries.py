@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_digests
 from .chat import chat_digests
@@ -16,6 +17,7 @@ from .simhash import hex_digits, near_components
 from .suffixes import remove_repeats
 from .token_files import token_digests
 from .whitening import whiten
+from .merkle import manifest, tampered
 
 
 def vocabulary(name: str) -> str:
@@ -73,6 +75,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaves, _ = manifest(docs, tampered(F.col("doc_id")))
+    return leaves.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash_components": op2_simhash_components,
@@ -85,5 +93,6 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {}

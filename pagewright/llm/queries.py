@@ -17,6 +17,7 @@ from .simhash import hex_digits, near_components
 from .suffixes import remove_repeats
 from .token_files import token_digests
 from .whitening import whiten
+from .langid import held_out, language_ids
 from .merkle import manifest, tampered
 
 
@@ -75,6 +76,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_ids(docs, ~held_out(F.col("doc_id")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans", "spans")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     leaves, _ = manifest(docs, tampered(F.col("doc_id")))
@@ -93,6 +100,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_language_id": op12_language_id,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {}

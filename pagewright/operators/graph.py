@@ -56,7 +56,9 @@ def crawl_levels(
         edges = edges.join(denied, "src", "left_anti")
 
     table = f"crawl_edges_{uuid.uuid4().hex}"
+    known = f"crawl_levels_{uuid.uuid4().hex}"
     levels = f"{folder}/levels"
+    start = roots.select("url", F.lit(None).cast("string").alias("parent")).distinct().withColumn("level", F.lit(0))
     if buckets:
         (
             # rows of one source lie together, so removing repeats moves nothing
@@ -64,30 +66,38 @@ def crawl_levels(
             .write.bucketBy(buckets, "src")
             .option("path", f"{folder}/edges").saveAsTable(table)
         )
+        # reached URLs: one folder per level, bucketed by url like the shuffle
+        # of the new targets, so the anti join against all of them moves only
+        # the new targets
+        start.repartition(buckets, "url").write.partitionBy("level").bucketBy(buckets, "url").option("path", levels).saveAsTable(known)
     else:
         edges.distinct().write.parquet(f"{folder}/edges")
+        start.write.partitionBy("level").parquet(levels)
     try:
         stored = spark.table(table) if buckets else spark.read.schema(_EDGES).parquet(f"{folder}/edges")
-        (
-            roots.select("url", F.lit(None).cast("string").alias("parent")).distinct()
-            .write.parquet(f"{levels}/level=0")
-        )
         level, fresh = 0, 1
         while fresh and (max_depth is None or level < max_depth):
-            frontier = spark.read.schema("url string").parquet(f"{levels}/level={level}")
-            seen = spark.read.schema("url string").parquet(levels)
+            every = spark.table(known) if buckets else spark.read.schema(_LEVELS).parquet(levels)
+            frontier = every.where(F.col("level") == level).select("url")
+            seen = every.select("url")
             reached = (
                 # a page is found by its canonical form, whatever form its URL was given in
                 stored.join(frontier.select("url", canonical_url("url").alias("src")), "src")
                 .groupBy(F.col("dst").alias("url"))
                 .agg(F.min(frontier["url"]).alias("parent"))
                 .join(seen, "url", "left_anti")
+                .withColumn("level", F.lit(level + 1))
             )
             count = Observation()
             level += 1
-            reached.observe(count, F.count(F.lit(1)).alias("n")).write.parquet(f"{levels}/level={level}")
+            written = reached.observe(count, F.count(F.lit(1)).alias("n")).write.partitionBy("level")
+            if buckets:
+                written.bucketBy(buckets, "url").mode("append").saveAsTable(known)
+            else:
+                written.mode("append").parquet(levels)
             fresh = count.get["n"]
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql(f"DROP TABLE IF EXISTS {known}")
         delete_tree(spark, f"{folder}/edges")
     return spark.read.schema(_LEVELS).parquet(levels).select("url", "level", "parent")

@@ -15,6 +15,21 @@ _LEVELS = "url string, parent string, level int"
 _EDGES = "src string, dst string"
 
 
+def next_level(edges: DataFrame, every: DataFrame, level: int) -> DataFrame:
+    """``(url, parent, level)`` of the targets of the URLs at ``level`` in
+    ``every(url, parent, level)`` that ``every`` does not hold yet.  With both
+    tables bucketed by their first column, only the new targets are shuffled."""
+    frontier = every.where(F.col("level") == level).select("url")
+    return (
+        # a page is found by its canonical form, whatever form its URL was given in
+        edges.join(frontier.select("url", canonical_url("url").alias("src")), "src")
+        .groupBy(F.col("dst").alias("url"))
+        .agg(F.min(frontier["url"]).alias("parent"))
+        .join(every.select("url"), "url", "left_anti")
+        .withColumn("level", F.lit(level + 1))
+    )
+
+
 def crawl_levels(
     links: DataFrame,
     roots: DataFrame,
@@ -78,16 +93,7 @@ def crawl_levels(
         level, fresh = 0, 1
         while fresh and (max_depth is None or level < max_depth):
             every = spark.table(known) if buckets else spark.read.schema(_LEVELS).parquet(levels)
-            frontier = every.where(F.col("level") == level).select("url")
-            seen = every.select("url")
-            reached = (
-                # a page is found by its canonical form, whatever form its URL was given in
-                stored.join(frontier.select("url", canonical_url("url").alias("src")), "src")
-                .groupBy(F.col("dst").alias("url"))
-                .agg(F.min(frontier["url"]).alias("parent"))
-                .join(seen, "url", "left_anti")
-                .withColumn("level", F.lit(level + 1))
-            )
+            reached = next_level(stored, every, level)
             count = Observation()
             level += 1
             written = reached.observe(count, F.count(F.lit(1)).alias("n")).write.partitionBy("level")

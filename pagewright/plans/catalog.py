@@ -219,11 +219,20 @@ def j_integrity(spark, d):
 
 
 def a_levels(spark, d):
-    """Crawl from the smallest page address, over links found in the pages and
-    links between pages."""
-    found = links.link_set(i.pages(spark, d)).select("src_url", "dst_url")
-    roots = i.page_urls(spark, d).agg(F.min(urls.canonical_url("url")).alias("url"))
-    return graph.crawl_levels(found.unionByName(i.page_edges(spark, d)), roots, exclude=["/api/"]).select("url", "level")
+    """Crawl as the scheduler runs it: from the seed frontier (the root and the
+    addresses its sitemaps list), inside the root domain, never into /api/.
+    Pages served as something other than HTML, or with an empty body, are
+    reached but their links are not followed; neither are those of pages the
+    robots files deny.  Links are those found in the pages and between pages."""
+    typed = i.typed_pages(spark, d)
+    html = typed.where(links.is_html("content_type") & (F.length("html") > 0)).select("page_id")
+    found = links.link_set(i.pages(spark, d).join(html, "page_id", "left_semi")).select("src_url", "dst_url")
+    between = i.page_edges(spark, d, html)
+    addresses = i.page_urls(spark, d).select(urls.canonical_url("url").alias("url")).distinct()
+    verdicts = robots_ops.robots_verdict(addresses, i.robots(spark, d), i.AGENT)
+    return graph.crawl_levels(
+        found.unionByName(between), j_seed(spark, d), root=i.ROOT, exclude=["/api/"], verdicts=verdicts
+    ).select("url", "level", "parent")
 
 
 def a_link_counts(spark, d):

@@ -95,10 +95,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_pages(spark, sf_dir).select("page_id", "url", F.expr(AUGMENTED).alias("html"))
 
 
+# One SQL text for both engines: the content type and body each page is served with.
+CONTENT_TYPE = "case page_id % 5 when 0 then 'image/png' when 1 then 'Text/HTML; charset=utf-8' else 'text/html' end"
+BODY = "case page_id % 11 when 3 then '' else html end"
+
+
 def typed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.expr("case page_id % 5 when 0 then 'image/png' when 1 then 'Text/HTML; charset=utf-8' else 'text/html' end")
-    body = F.expr("case page_id % 11 when 3 then '' else html end")
-    return raw_pages(spark, sf_dir).select("page_id", "url", body.alias("html"), kind.alias("content_type"))
+    return raw_pages(spark, sf_dir).select("page_id", "url", F.expr(BODY).alias("html"), F.expr(CONTENT_TYPE).alias("content_type"))
 
 
 def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,12 +172,13 @@ def url_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_edges(spark: SparkSession, sf_dir: str, sources: DataFrame | None = None) -> DataFrame:
     """Links between captured pages ``(src_url, dst_url)``: page p to pages 2p
-    and 2p+1, modulo the number of pages.  Ids and addresses only."""
+    and 2p+1, modulo the number of pages.  Ids and addresses only.
+    ``sources`` (page_id) limits the pages whose links are given."""
     urls = page_urls(spark, sf_dir)
     total = urls.agg(F.count(F.lit(1))).scalar()
-    hop = urls.select(
+    hop = (urls if sources is None else urls.join(sources, "page_id", "left_semi")).select(
         "url", F.explode(F.array(F.col("page_id") * 2, F.col("page_id") * 2 + 1)).alias("to_id")
     ).withColumn("to_id", F.col("to_id") % total)
     target = urls.select(F.col("page_id").alias("to_id"), canonical_url("url").alias("dst_url"))

@@ -183,6 +183,16 @@ _STATE_ROWS = (
     "max(outcome) as outcome from srows group by url)"
 )
 
+# verdicts (url, allowed) of the addresses in ``urls``, after _RULES
+_VERDICTS = (
+    f"u as (select url, {_host('url')} as host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1), ''), '/') as target from urls)"
+    ", first_rule as (select u.url, min_by(r.allow, r.rule_no) as allow from u join pick using (host) "
+    "join rules r on r.host = pick.host and r.group_no = pick.group_no where starts_with(u.target, r.path) group by u.url)"
+    ", by_host as (select u.url, s.status_code, f.allow from u left join robots s on s.host = u.host left join first_rule f on f.url = u.url)"
+    ", verdicts as (select url, case when status_code is null or status_code = 404 then true when status_code = 503 then false "
+    "else coalesce(allow, true) end as allowed from by_host)"
+)
+
 _MAPS = (
     "maps as (select page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/map' || page_id || '.xml' as sitemap_url from pages)"
     ", locs as (select sitemap_url, unnest([url, url]) as loc from maps where page_id % 10 <> 9)"
@@ -336,13 +346,7 @@ def oracles() -> dict[str, str]:
         f"with {_links()} select page_id, kind, dst_url from links where not contains(dst_url, '/api/') and not contains(dst_url, '/go/')"
     )
     o["j_robots_verdict"] = (
-        f"with {_link_set()}, {_RULES}, urls as (select distinct dst_url as url from targets)"
-        f", u as (select url, {_host('url')} as host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1), ''), '/') as target from urls)"
-        ", first_rule as (select u.url, min_by(r.allow, r.rule_no) as allow from u join pick using (host) "
-        "join rules r on r.host = pick.host and r.group_no = pick.group_no where starts_with(u.target, r.path) group by u.url)"
-        ", by_host as (select u.url, s.status_code, f.allow from u left join robots s on s.host = u.host left join first_rule f on f.url = u.url) "
-        "select url, case when status_code is null or status_code = 404 then true when status_code = 503 then false "
-        "else coalesce(allow, true) end as allowed from by_host"
+        f"with {_link_set()}, {_RULES}, urls as (select distinct dst_url as url from targets), {_VERDICTS} select url, allowed from verdicts"
     )
     o["j_new_sitemaps"] = f"with {_MAPS} select sitemap_url from maps where page_id % 2 = 1"
     o["j_seed"] = (
@@ -378,14 +382,25 @@ def oracles() -> dict[str, str]:
         "select target_path, count(*) as n_refs, min(own) as first_source from hit where target_path not in (select local_path from held) group by target_path"
     )
     o["a_levels"] = (
-        f"with recursive {_links()}, {_PAGES}, total as (select count(*) as n from pages)"
-        f", found as (select distinct {_canon('url')} as src, dst_url as dst from links)"
-        ", hops as (select canonical as src, unnest([page_id * 2, page_id * 2 + 1]) % (select n from total) as to_id from own)"
-        ", edges as (select src, dst from found where not contains(dst, '/api/') union "
-        "select h.src, o.canonical from hops h join own o on o.page_id = h.to_id)"
-        ", walk(url, level) as (select min(canonical), 0 from own union "
-        "select e.dst, w.level + 1 from walk w join edges e on e.src = w.url where w.level < 14) "
-        "select url, cast(min(level) as int) as level from walk group by url"
+        f"with recursive {_links()}, {_PAGES}, {_RULES}, {_MAPS}, total as (select count(*) as n from pages)"
+        f", html as (select page_id from pages where contains(lower({i.CONTENT_TYPE}), 'text/html') and length({i.BODY}) > 0)"
+        f", found as (select distinct {_canon('url')} as src, dst_url as dst from links where page_id in (select page_id from html))"
+        ", hops as (select canonical as src, unnest([page_id * 2, page_id * 2 + 1]) % (select n from total) as to_id from own "
+        "where page_id in (select page_id from html))"
+        f", urls as (select distinct canonical as url from own), {_VERDICTS}"
+        ", denied as (select url from verdicts where not allowed)"
+        ", all_edges as (select src, dst from found union select h.src, o.canonical from hops h join own o on o.page_id = h.to_id)"
+        f", edges as (select distinct src, dst from all_edges where ends_with({_host('dst')}, '{ROOT}') and not contains(dst, '/api/') "
+        "and src <> dst and src not in (select url from denied))"
+        f", seeds as (select 'https://{ROOT}' as url union select url from maps where page_id % 2 = 1 and page_id % 10 <> 9 "
+        f"and ends_with({_host('url')}, '{ROOT}') and not contains(url, 'utm_'))"
+        # breadth first until no address is new: the key keeps each address once, at its first level
+        ", walk(url, level) using key (url) as (select url, 0 from seeds union "
+        f"select distinct e.dst, w.level + 1 from walk w join edges e on e.src = {_canon('w.url')} "
+        "where e.dst not in (select url from recurring.walk))"
+        f", parents as (select t.url, min(w.url) as parent from walk t join edges e on e.dst = t.url join walk w on e.src = {_canon('w.url')} "
+        "and w.level = t.level - 1 where t.level > 0 group by t.url) "
+        "select w.url, cast(w.level as int) as level, p.parent from walk w left join parents p on p.url = w.url"
     )
     o["a_link_counts"] = (
         f"with {_link_set()} select p.page_id, count(t.dst_url) as n_links from pages p left join targets t on t.page_id = p.page_id group by p.page_id"

@@ -16,12 +16,12 @@ from ..functions.rewriting import (
     fill_sql,
     joined_pieces_sql,
     open_urls_sql,
-    page_open_urls_sql,
     page_parts_sql,
     page_pieces_sql,
     sheet_parts_sql,
     sheet_pieces_sql,
 )
+from ..sources.workdir import bucketed
 from .links import css_resources
 from .lookup import lookup
 
@@ -74,14 +74,16 @@ def rewrite_pages(
     parts = joined(links).select("page_id", "url", F.expr(text).alias("parts"))
     if not assets:
         return parts.select("page_id", "url", placed, F.array_join("parts", "").alias("html"))
-    # the open references do not depend on links, so this pass leaves them out
-    refs = joined(False).select(
+    # each page is cut once and written bucketed by page; its open references
+    # are a narrow column of that table, and their answers alone move to it
+    held = bucketed(parts.withColumn("refs", F.expr(open_urls_sql("parts"))), "page_id", "rewrite-cut")
+    refs = held.select(
         F.col("page_id").alias("key"),
         parent_folder(local_path(root_dir, "url")).alias("folder"),
-        F.posexplode(F.expr(page_open_urls_sql("pieces", root, mode))).alias("k", "url"),
+        F.posexplode("refs").alias("k", "url"),
     )
     answers = _answers(refs, resource_map).withColumnRenamed("key", "page_id")
-    return parts.join(answers, "page_id", "left").select(
+    return held.join(answers, "page_id", "left").select(
         "page_id", "url", placed, F.expr(fill_sql("parts", "paths")).alias("html")
     )
 

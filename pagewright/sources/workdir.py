@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
@@ -22,6 +22,17 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def bucketed(df: DataFrame, key: str, purpose: str) -> DataFrame:
+    """``df`` written once under the shared work folder, bucketed by ``key``
+    into as many buckets as a shuffle has partitions, and read back: a later
+    join on ``key`` moves only its other side."""
+    spark = df.sparkSession
+    name = f"{purpose.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", work_dir(spark, purpose)).saveAsTable(name)
+    return spark.table(name)
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop file system and path object of ``path``."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

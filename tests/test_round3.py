@@ -41,3 +41,23 @@ def test_levels_follow_only_html_pages(spark, sf_dir):
     forms = {r.c for r in parents.select(canonical_url("url").alias("c")).distinct().collect()}
     # every parent is a page that is served as HTML with a body; some pages are not
     assert forms and stops and forms <= follows
+
+
+def test_pages_are_cut_once_and_parts_do_not_move(spark, sf_dir):
+    from pagewright.operators.rewrite import rewrite_pages
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = rewrite_pages(i.pages(spark, sf_dir), i.resource_map(spark, sf_dir), i.ROOT, "out")
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan" in line]
+        # the html was read and cut once, when the cut table was written; the
+        # result reads its parts and its narrow column of references
+        assert not any("html" in line for line in scans)
+        assert sum("parts" in line for line in scans) == 1 and sum("refs" in line for line in scans) == 1
+        parts_scan = next(n for n, line in enumerate(plan.splitlines()) if "FileScan" in line and "parts" in line)
+        above = plan.splitlines()[parts_scan - 1]
+        assert "Exchange" not in above
+        assert done.count() == i.pages(spark, sf_dir).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

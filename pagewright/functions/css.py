@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .binding import let_struct, q, struct
@@ -61,16 +60,71 @@ def split_sheet(text: str, nested: bool) -> list[str]:
     return pieces
 
 
-def sheet_pieces(content: str, nested: bool) -> Column:
-    """``split_sheet`` of a column.  Depth is a running state, which built-in
-    array functions cannot keep in linear time, so this one step is a small
-    Arrow-batched function; style sheets are few beside documents."""
+# The same tokens for the JVM's regex engine; a statement at-rule (not one of
+# _RULE_LIKE) takes its prelude and a closing ``;`` into its token.
+_JVM_PRELUDE = r"""(?:/\*.*?(?:\*/|\z)|"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|\([^)]*+(?:\)|\z)|[^;{}"'(/]++|["'/])*+"""
+JVM_SHEET_TOKEN = (
+    r"""(?s)/\*.*?(?:\*/|\z)|"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|url\([^)]*+(?:\)|\z)"""
+    r"""|@(?!(?i:font-face|page))[A-Za-z\-]++""" + _JVM_PRELUDE + r""";?"""
+    r"""|@[A-Za-z\-]++|[{}]|[^/"'u@{}]++|."""
+)
+
 
-    @F.pandas_udf("array<string>")
-    def pieces(sheets: pd.Series) -> pd.Series:
-        return sheets.map(lambda s: None if s is None else split_sheet(s, nested))
+def with_sheet_pieces(sheets: DataFrame, content: str, nested: bool, name: str = "pieces") -> DataFrame:
+    """``sheets`` with ``name``: ``split_sheet`` of ``content``, in the JVM.
 
-    return pieces(content)
+    Each distinct sheet becomes token rows (a lossless regex split); the depth of
+    braces is a running sum over them; an opening brace and its closing one
+    are neighbours among the steps of one level; a statement at-rule followed
+    by a brace (unless ``nested``) takes the tokens up to the matching close,
+    or to the end, into its piece, and outermost such spans win.  Pieces fold
+    back in order; a quoted string splits into its ``url(...)`` pieces.
+    """
+    rid = "__sheet_key"
+    # pieces depend on the text alone: copies of a sheet are cut once
+    key = F.sha2(F.col(content), 256)
+    keyed = sheets.withColumn(rid, key)
+    texts = sheets.where(F.col(content).isNotNull()).select(key.alias(rid), F.col(content)).dropDuplicates([rid])
+    tokens = texts.select(rid, F.posexplode(F.regexp_extract_all(F.col(content), F.lit(JVM_SHEET_TOKEN), 0)).alias("pos", "tok"))
+    by_pos = Window.partitionBy(rid).orderBy("pos")
+    step = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
+    tokens = tokens.withColumn("depth", F.sum(step).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
+    if nested:
+        segments = tokens.withColumn("seg", F.col("pos"))
+    else:
+        # steps of one level alternate: an opening brace's next step there closes it
+        steps = tokens.where(F.col("tok").isin("{", "}")).withColumn(
+            "level", F.when(F.col("tok") == "{", F.col("depth")).otherwise(F.col("depth") + 1)
+        )
+        closes = steps.withColumn("match", F.lead("pos").over(Window.partitionBy(rid, "level").orderBy("pos"))).where(
+            F.col("tok") == "{"
+        ).select(rid, (F.col("pos") - 1).alias("pos"), "match")
+        statement = F.col("tok").rlike(r"^@(?!(?i:font-face|page))[A-Za-z\-]") & ~F.col("tok").endswith(";")
+        opens = (
+            tokens.withColumn("next", F.lead("tok").over(by_pos))
+            .join(closes, [rid, "pos"], "left")
+            .withColumn("end", F.when(statement & (F.col("next") == "{"), F.coalesce("match", F.lit(2**62))))
+        )
+        before = F.max("end").over(by_pos.rowsBetween(Window.unboundedPreceding, -1))
+        outer = F.col("end").isNotNull() & (before.isNull() | (before < F.col("pos")))
+        spans = opens.withColumn("span", F.when(outer, F.struct(F.col("pos").alias("s"), F.col("end").alias("e"))))
+        last = F.last("span", ignorenulls=True).over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
+        segments = spans.withColumn("span", last).withColumn(
+            "seg", F.when(F.col("span.e") >= F.col("pos"), F.col("span.s")).otherwise(F.col("pos"))
+        )
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "tok")))
+    pieces = segments.groupBy(rid, "seg").agg(F.array_join(ordered.getField("tok"), "").alias("piece"), F.count(F.lit(1)).alias("n"))
+    folded = pieces.groupBy(rid).agg(F.sort_array(F.collect_list(F.struct("seg", "piece", "n"))).alias("all")).select(
+        rid, F.flatten(F.transform("all", lambda x: _one(x))).alias(name)
+    )
+    joined = keyed.join(folded, rid, "left")
+    value = F.when(F.col(content).isNull(), F.lit(None)).otherwise(F.coalesce(F.col(name), F.array().cast("array<string>")))
+    return joined.withColumn(name, value).drop(rid)
+
+
+def _one(x: Column) -> Column:
+    string = (x["n"] == 1) & x["piece"].rlike("^[\"'].")
+    return F.when(string, F.regexp_extract_all(x["piece"], F.lit(URL_PIECES), 0)).otherwise(F.array(x["piece"]))
 
 
 def is_ref_sql(piece: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import let, q
-from ..functions.css import piece_refs_sql, sheet_pieces
+from ..functions.css import piece_refs_sql, with_sheet_pieces
 from ..functions.html import title_sql, tokens_sql
 from ..functions.refs import LINK_KINDS, STATIC_KINDS, page_links_sql
 from ..functions.urls import base_sql, file_ext, is_excluded, is_http, normalize_sql, same_domain, same_domain_sql
@@ -90,8 +90,7 @@ def css_refs(resources: DataFrame, nested: bool = False) -> DataFrame:
         lambda b: f"transform({raws}, r -> named_struct('raw', r, 'dst_url', {normalize_sql(b, 'r')}))",
     )
     return (
-        css_resources(resources)
-        .select("url", sheet_pieces("content", nested).alias("pieces"))
+        with_sheet_pieces(css_resources(resources).select("url", "content"), "content", nested)
         .select(F.col("url").alias("css_url"), F.explode(F.expr(links)).alias("ref"))
         .select("css_url", "ref.raw", "ref.dst_url")
         .filter(F.col("dst_url").isNotNull() & ~F.col("dst_url").startswith("data:"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.css import sheet_pieces
+from ..functions.css import with_sheet_pieces
 from ..functions.paths import local_path, parent_folder, relative_path
 from ..functions.rewriting import (
     fill_sql,
@@ -112,7 +112,7 @@ def rewrite_css(
 ) -> DataFrame:
     """``(url, local_path, content)`` of the style sheets, references to
     captured assets made relative to the sheet's folder."""
-    cut = css_resources(resources).select("url", "content", sheet_pieces("content", nested).alias("cut")).select(
+    cut = with_sheet_pieces(css_resources(resources).select("url", "content"), "content", nested, "cut").select(
         "url", "content", F.expr(sheet_pieces_sql("cut")).alias("pieces")
     )
     joined = cut.select("url", "content", F.expr(joined_pieces_sql("pieces", "url")).alias("pieces"))

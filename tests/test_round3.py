@@ -61,3 +61,31 @@ def test_pages_are_cut_once_and_parts_do_not_move(spark, sf_dir):
         assert done.count() == i.pages(spark, sf_dir).count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _random_sheet(rng):
+    parts = ["@media print", "@import url(a.css)", "@import 'b.css';", "@font-face", "@page", "@Page :first", "{", "}", "{", "}",
+             "a", " ", "h1", ":", ";", "url(/x.png)", "url( 'y.png' )", '"url(z.png) s"', "'q'", "/* { */", "/* open", "'open",
+             "@supports (x: {y})", "@x", "@", "\n", "u", "url(", "b{c:url(d)}", "@media screen{p{x:url(/m.png)}}"]
+    return "".join(rng.choice(parts) for _ in range(rng.randrange(0, 25)))
+
+
+def test_sheet_pieces_in_the_jvm_equal_the_reader(spark):
+    import random
+
+    from pagewright.functions.css import split_sheet, with_sheet_pieces
+
+    rng = random.Random(11)
+    sheets = [_random_sheet(rng) for _ in range(400)] + ["", None, "@media a{" * 5 + "}" * 3, "}}{{@m{x}}", "@a{b}c{d}@e{"]
+    rows = [(n, s, "x") for n, s in enumerate(sheets)] + [(len(sheets), sheets[0], "x")]
+    df = spark.createDataFrame(rows, "n long, content string, pieces string").drop("pieces").repartition(3)
+    for nested in (False, True):
+        got = {r.n: r.pieces for r in with_sheet_pieces(df, "content", nested).collect()}
+        for n, s, _ in rows:
+            assert got[n] == (None if s is None else split_sheet(s, nested)), (s, nested)
+
+
+def test_style_sheet_queries_stay_in_the_jvm(spark, sf_dir):
+    for name in ("x_css", "x_css_nested", "x_css_sheets", "r_css"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert not any(n in plan for n in ("ArrowEvalPython", "BatchEvalPython", "PythonUDF", "MapInArrow")), name

@@ -121,18 +121,25 @@ def _unsplit(scheme: str, netloc: str, path: str, params: str, query: str) -> st
 
 
 def fold_parents_sql(segs: str) -> str:
-    """Resolve ``..`` in an array of segments.  Each ``..`` takes away the one
-    before it and brings in the run up to the next, so what is copied goes by
-    the number of ``..``, not of segments."""
-
-    def runs(at: str) -> str:
-        places = f"transform({at}, (p, k) -> struct(p as at, coalesce(get({at}, k + 1), size({segs}) + 1) as next))"
-        first = f"slice({segs}, 1, {at}[0] - 1)"
-        step = f"concat(slice(acc, 1, greatest(size(acc) - 1, 0)), slice({segs}, r.at + 1, r.next - r.at - 1))"
-        return f"aggregate({places}, {first}, (acc, r) -> {step})"
-
-    at = f"filter(transform({segs}, (s, i) -> if(s = '..', i + 1, 0)), i -> i > 0)"
-    return f"if(array_contains({segs}, '..'), {let(at, runs)}, {segs})"
+    """Resolve ``..`` in an array of segments.  A run of d ``..`` takes away
+    the d segments before it (as far as there are any) and brings in the run
+    of other segments up to the next; the runs are read off one string of
+    flags, so a path is scanned once and each run costs one step."""
+    flags = f"array_join(transform({segs}, s -> if(s = '..', 'D', 'S')), '')"
+
+    def runs(f: str) -> str:
+        lead = f"length(regexp_extract({f}, '^S*', 0))"
+        steps = (
+            f"transform(regexp_extract_all({f}, 'D+S*', 0), r -> "
+            "struct(length(regexp_extract(r, '^D+', 0)) as d, length(r) - length(regexp_extract(r, '^D+', 0)) as s))"
+        )
+        step = (
+            "struct(concat(slice(st.acc, 1, greatest(size(st.acc) - r.d, 0)), "
+            f"slice({segs}, st.at + r.d + 1, r.s)) as acc, st.at + r.d + r.s as at)"
+        )
+        return f"aggregate({steps}, struct(slice({segs}, 1, {lead}) as acc, {lead} as at), (st, r) -> {step}).acc"
+
+    return f"if(array_contains({segs}, '..'), {let(flags, runs)}, {segs})"
 
 
 def _fold_dots(path: str) -> str:

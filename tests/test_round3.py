@@ -89,3 +89,31 @@ def test_style_sheet_queries_stay_in_the_jvm(spark, sf_dir):
     for name in ("x_css", "x_css_nested", "x_css_sheets", "r_css"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not any(n in plan for n in ("ArrowEvalPython", "BatchEvalPython", "PythonUDF", "MapInArrow")), name
+
+
+def test_parent_segments_fold_like_a_stack_and_in_one_pass(spark):
+    import random
+    import time
+
+    from pagewright.functions.urls import fold_parents_sql, resolve_url
+
+    def stack(path):
+        out = []
+        for s in path.split("/"):
+            if s == "..":
+                if out:
+                    out.pop()
+            else:
+                out.append(s)
+        return out
+
+    rng = random.Random(5)
+    paths = ["/".join(rng.choice(["a", "b", "..", "", ".."]) for _ in range(rng.randrange(0, 14))) for _ in range(2000)]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    for r in df.select("p", F.expr(fold_parents_sql("split(p, '/')")).alias("n")).collect():
+        assert r.n == stack(r.p), r.p
+    n = 100_000
+    deep = spark.createDataFrame([("a/" * n + "../" * n + "x",)], "p string")
+    start = time.time()
+    assert deep.select(resolve_url(F.lit("http://h/b/"), "p")).first()[0] == "http://h/b/x"
+    assert time.time() - start < 20

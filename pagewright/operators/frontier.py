@@ -6,9 +6,11 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.urls import netloc_of
 from ..schemas import URL_STATE
+from ..sources.workdir import written
 
 OUTCOMES = ("saved", "denied", "failed", "empty", "non_html")
 
@@ -54,9 +56,68 @@ def mark_visited(url_state: DataFrame, done: DataFrame, at: dt.datetime | Column
     )
 
 
-def next_batch(url_state: DataFrame, n: int) -> DataFrame:
-    """The ``n`` pending URLs that come first by level, then URL."""
-    return url_state.filter(F.col("status") == "pending").orderBy("level", "url").limit(n)
+#: Batches up to this size are taken by one ordered take; larger ones by a distributed cut.
+TAKE = 10_000
+
+
+def next_batch(url_state: DataFrame, n: int, take: int = TAKE) -> DataFrame:
+    """The ``n`` pending URLs that come first by level (nulls first), then URL;
+    among equal (level, URL) rows any may come first.  A batch of more than
+    ``take`` rows is cut without any task holding it: counts per level find
+    the level at the border, range partitions of its URLs with their counts
+    find the partition at the border, and only that one is cut by position."""
+    pending = url_state.filter(F.col("status") == "pending")
+    if n <= take:
+        return pending.orderBy("level", "url").limit(n)
+    counts = sorted(
+        ((r.level, r["count"]) for r in pending.groupBy("level").count().collect()),  # one row per level
+        key=lambda r: (r[0] is not None, r[0] or 0),
+    )
+    before, border = 0, None
+    for level, count in counts:
+        if before + count >= n:
+            border = (level, count)
+            break
+        before += count
+    if border is None:
+        return pending
+    level = F.col("level")
+    at = level.isNull() if border[0] is None else level == border[0]
+    earlier = F.lit(False) if border[0] is None else (level.isNull() | (level < border[0]))
+    return pending.where(earlier).unionByName(_first_urls(pending.where(at), n - before))
+
+
+def _first_urls(rows: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows of ``rows`` that come first by URL."""
+    spark = rows.sparkSession
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    ordered = rows.repartitionByRange(parts, "url").sortWithinPartitions("url")
+    schema = T.StructType(ordered.schema.fields + [T.StructField("__part", T.IntegerType()), T.StructField("__at", T.LongType())])
+
+    def number(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(size, part, dtype=np.int32)), pa.array(np.arange(seen, seen + size, dtype=np.int64))],
+                names=schema.fieldNames(),
+            )
+            seen += size
+
+    placed = written(ordered.mapInArrow(number, schema), "next-batch")
+    sizes = sorted((r["__part"], r["count"]) for r in placed.groupBy("__part").count().collect())  # one row per partition
+    taken, cut = 0, None
+    for part, count in sizes:
+        if taken + count >= k:
+            cut = (part, k - taken)
+            break
+        taken += count
+    keep = (F.col("__part") < cut[0]) | ((F.col("__part") == cut[0]) & (F.col("__at") < cut[1]))
+    return placed.where(keep).drop("__part", "__at")
 
 
 def frontier_counts(url_state: DataFrame) -> DataFrame:

@@ -286,6 +286,13 @@ def a_next_batch(spark, d):
     return frontier.next_batch(i.url_state(spark, d), 50).select("url", "level")
 
 
+def a_next_batch_large(spark, d):
+    """A batch of a third of the pending URLs, cut without one task holding it."""
+    state = i.url_state(spark, d)
+    n = state.filter(F.col("status") == "pending").count() // 3
+    return frontier.next_batch(state, n, take=0).select("url", "level")
+
+
 def a_schedule(spark, d):
     policy = robots_ops.robots_policy(i.robots(spark, d), i.AGENT)
     return schedule.crawl_schedule(i.url_state(spark, d).filter("status = 'pending'"), policy, 0.5)
@@ -422,7 +429,7 @@ QUERIES: dict[str, Query] = {
         x_title, x_interstitial, x_sitemap, x_robots_sitemaps, x_robots_rules, j_internal, j_external, j_excluded,
         j_robots_verdict, j_new_sitemaps, j_seed, j_enqueue, j_classify, j_resolve_cached, j_pending_res, j_missing_res,
         j_integrity, a_levels, a_link_counts, a_frontier_counts, a_sitemap_counts, a_manifest, a_collisions,
-        a_collision_members, a_canon_dups, a_canon_forms, a_mark_visited, a_next_batch, a_schedule, a_retry, a_report,
+        a_collision_members, a_canon_dups, a_canon_forms, a_mark_visited, a_next_batch, a_next_batch_large, a_schedule, a_retry, a_report,
         r_links, r_static, r_styles, r_css, r_pages, s_mirror, s_state, t_links, t_frontier, t_state, t_rewrite,
         internal_link_targets,
     )

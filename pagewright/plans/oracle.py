@@ -423,6 +423,10 @@ def oracles() -> dict[str, str]:
         f"select url, status, {_TEXT_TIME}, level, outcome from m"
     )
     o["a_next_batch"] = f"with {_STATE_ROWS} select url, level from state where status = 'pending' order by level, url limit 50"
+    o["a_next_batch_large"] = (
+        f"with {_STATE_ROWS} select url, level from state where status = 'pending' order by level nulls first, url "
+        "limit (select count(*) // 3 from state where status = 'pending')"
+    )
     o["a_schedule"] = (
         f"with {_STATE_ROWS}, {_RULES}, delays as (select pick.host, max(crawl_delay) as crawl_delay from pick "
         "join rules r on r.host = pick.host and r.group_no = pick.group_no group by pick.host)"

@@ -22,6 +22,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once under the shared work folder and read back: later
+    jobs see the same rows, and a lost executor costs only its tasks."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucketed(df: DataFrame, key: str, purpose: str) -> DataFrame:
     """``df`` written once under the shared work folder, bucketed by ``key``
     into as many buckets as a shuffle has partitions, and read back: a later

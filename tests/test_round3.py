@@ -117,3 +117,20 @@ def test_parent_segments_fold_like_a_stack_and_in_one_pass(spark):
     start = time.time()
     assert deep.select(resolve_url(F.lit("http://h/b/"), "p")).first()[0] == "http://h/b/x"
     assert time.time() - start < 20
+
+
+def test_large_batches_are_cut_without_one_task_holding_them(spark):
+    import random
+
+    from pagewright.operators import frontier
+
+    rng = random.Random(2)
+    rows = [(f"http://h/{rng.randrange(400):04d}", rng.choice([None, 0, 1, 1, 2]), rng.choice(["pending", "pending", "visited"]))
+            for _ in range(900)]
+    state = spark.createDataFrame(rows, "url string, level int, status string").repartition(4)
+    pending = sorted(((lv is not None, lv or 0), u) for u, lv, s in rows if s == "pending")
+    for n in (0, 1, 37, 150, 300, len(pending), len(pending) + 5):
+        got = sorted(((r.level is not None, r.level or 0), r.url) for r in frontier.next_batch(state, n, take=-1).collect())
+        assert got == pending[:n]
+        small = sorted(((r.level is not None, r.level or 0), r.url) for r in frontier.next_batch(state, n).collect())
+        assert small == got

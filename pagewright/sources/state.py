@@ -4,7 +4,8 @@ Two layouts, both append-only:
 
 * ``write_state`` / ``read_state``: complete versions ``v=N``.  A version counts
   once its ``_COMMITTED`` marker exists, which is created last, so a reader
-  never sees a half-written version and nothing read is ever overwritten.
+  never sees a half-written version and nothing read is ever overwritten;
+  writers claim versions by an exclusive create, so several may write at once.
 * ``append_changes`` / ``read_changes``: a log of change rows, one folder per
   batch, merged on read.  A replayed batch replaces its own folder, so it adds
   nothing; ``compact_changes`` folds old batches into one base.
@@ -12,6 +13,7 @@ Two layouts, both append-only:
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,9 @@ from ..schemas import RESOURCE_MAP, SEEN_SITEMAPS, URL_STATE
 from .workdir import child_numbers, file_system
 
 _MARKER = "_COMMITTED"
+_CLAIM = "_CLAIM"
+#: A committed version names the folder of its tables in a file ``_DATA=<folder>``.
+_DATA = "_DATA="
 
 
 class CrawlState(NamedTuple):
@@ -39,17 +44,39 @@ def state_versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def write_state(path: str, state: CrawlState) -> int:
-    """Write a new version and return its number."""
+    """Write a new version and return its number.
+
+    Any number of writers may write at once: each writes its tables under a
+    folder of its own name, then claims the next free version by creating
+    ``v=N/_CLAIM`` without overwriting (the file system lets one creator win;
+    a loser tries N + 1), names its folder there and commits.  Nothing that
+    another writer wrote is overwritten."""
     spark = state.url_state.sparkSession
-    version = (state_versions(spark, path) or [0])[-1] + 1
-    folder = f"{path}/v={version}"
+    own = f"data-{uuid.uuid4().hex}"
     for name, table in state._asdict().items():
-        table.write.mode("overwrite").parquet(f"{folder}/{name}")
-    fs, marker = file_system(spark, f"{folder}/{_MARKER}")
-    fs.create(marker, False).close()
+        table.write.parquet(f"{path}/{own}/{name}")
+    version = max([0, *state_versions(spark, path), *child_numbers(spark, path, "v=", _CLAIM)]) + 1
+    while True:
+        fs, claim = file_system(spark, f"{path}/v={version}/{_CLAIM}")
+        try:
+            fs.create(claim, False).close()
+            break
+        except Exception as error:  # another writer holds this version
+            if not fs.exists(claim):
+                raise error
+            version += 1
+    fs.create(file_system(spark, f"{path}/v={version}/{_DATA}{own}")[1], False).close()
+    fs.create(file_system(spark, f"{path}/v={version}/{_MARKER}")[1], False).close()
     return version
 
 
+def _folder(spark: SparkSession, path: str, version: int) -> str:
+    """Where the tables of a committed version lie."""
+    fs, root = file_system(spark, f"{path}/v={version}")
+    named = [s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith(_DATA)]
+    return f"{path}/{named[0][len(_DATA):]}" if named else f"{path}/v={version}"
+
+
 def read_state(spark: SparkSession, path: str, version: int | None = None) -> CrawlState:
     """A committed version (the latest by default); empty tables before the first."""
     versions = state_versions(spark, path)
@@ -57,7 +84,7 @@ def read_state(spark: SparkSession, path: str, version: int | None = None) -> Cr
         raise ValueError(f"no committed version {version} in {path}")
     if not versions:
         return CrawlState(*[spark.createDataFrame([], s) for s in _SCHEMAS])
-    folder = f"{path}/v={version or versions[-1]}"
+    folder = _folder(spark, path, version or versions[-1])
     return CrawlState(
         *[spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in _SCHEMAS._asdict().items()]
     )

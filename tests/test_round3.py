@@ -134,3 +134,23 @@ def test_large_batches_are_cut_without_one_task_holding_them(spark):
         assert got == pending[:n]
         small = sorted(((r.level is not None, r.level or 0), r.url) for r in frontier.next_batch(state, n).collect())
         assert small == got
+
+
+def test_two_state_writers_get_two_versions(spark, tmp_path):
+    import threading
+
+    from pagewright.sources import state
+
+    path = str(tmp_path / "state")
+    base = state.read_state(spark, path)
+    made = [base._replace(url_state=spark.createDataFrame([(f"http://h/{k}", "pending", None, 0, None)], base.url_state.schema))
+            for k in range(4)]
+    got = []
+    threads = [threading.Thread(target=lambda m=m: got.append(state.write_state(path, m))) for m in made]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(got) == [1, 2, 3, 4] == state.state_versions(spark, path)
+    urls = {state.read_state(spark, path, v).url_state.first().url for v in got}
+    assert urls == {f"http://h/{k}" for k in range(4)}

@@ -27,9 +27,17 @@ def tokenize(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(F.expr(tokens_sql("html"))).alias("pos", "token"))
 
 
+def html_pages(pages: DataFrame) -> DataFrame:
+    """The pages whose links are read: all of them, or, where ``pages`` says
+    what it holds in ``content_type``, those served as HTML (a missing type is
+    not HTML)."""
+    return pages.where(is_html("content_type")) if "content_type" in pages.columns else pages
+
+
 def extract_links(pages: DataFrame, kinds: Sequence[str] = LINK_KINDS) -> DataFrame:
-    """``(page_id, src_url, kind, raw, dst_url)``, distinct within a page."""
-    found = pages.select(
+    """``(page_id, src_url, kind, raw, dst_url)``, distinct within a page;
+    pages typed as other than HTML give none."""
+    found = html_pages(pages).select(
         "page_id",
         F.col("url").alias("src_url"),
         F.explode(F.expr(page_links_sql("url", "html", kinds))).alias("link"),
@@ -45,12 +53,13 @@ def link_set(
     kinds: Sequence[str] = LINK_KINDS,
 ) -> DataFrame:
     """``(page_id, src_url, dst_url)``: the distinct targets of each page, of
-    any kind, inside the root domain and not excluded."""
+    any kind, inside the root domain and not excluded; pages typed as other
+    than HTML give none."""
     targets = f"array_distinct(transform({page_links_sql('url', 'html', kinds)}, l -> l.dst_url))"
     keep = same_domain_sql(root, "d", mode)
     for text in exclude:
         keep += f" and not contains(d, {q(text)})"
-    return pages.select(
+    return html_pages(pages).select(
         "page_id",
         F.col("url").alias("src_url"),
         F.explode(F.expr(f"filter({targets}, d -> {keep})")).alias("dst_url"),

@@ -22,7 +22,7 @@ from ..functions.rewriting import (
     sheet_pieces_sql,
 )
 from ..sources.workdir import bucketed
-from .links import css_resources
+from .links import css_resources, is_html
 from .lookup import lookup
 
 
@@ -58,8 +58,15 @@ def rewrite_pages(
     pointing at their files.  Bytes outside rewritten values stay as they are.
 
     ``page_id`` identifies a page.  With ``resource_map=None``, or assets
-    switched off, there is no shuffle at all.
+    switched off, there is no shuffle at all.  Where ``pages`` has a
+    ``content_type``, pages not served as HTML keep their bytes as they are.
     """
+    if "content_type" in pages.columns:
+        served = pages.where(is_html("content_type"))
+        kept = pages.where(~F.coalesce(is_html("content_type"), F.lit(False)))
+        placed = local_path(root_dir, "url").alias("local_path")
+        done = rewrite_pages(served.drop("content_type"), resource_map, root, root_dir, mode, links, rewrite_static, rewrite_styles)
+        return done.unionByName(kept.select("page_id", "url", placed, "html"))
     assets = resource_map is not None and (rewrite_static or rewrite_styles)
 
     def joined(with_links: bool) -> DataFrame:

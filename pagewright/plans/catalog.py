@@ -96,6 +96,21 @@ def x_all_links(spark, d):
     return _kinds(*LINK_KINDS)(spark, d)
 
 
+def _served(spark, d):
+    """Pages with the type each is served with."""
+    return i.pages(spark, d).withColumn("content_type", F.expr(i.CONTENT_TYPE))
+
+
+def x_typed_link_set(spark, d):
+    """Only pages served as HTML give links."""
+    return links.link_set(_served(spark, d), i.ROOT, ["/go/"]).select("page_id", "dst_url")
+
+
+def r_typed_pages(spark, d):
+    """Pages served as HTML are rewritten; the others keep their bytes."""
+    return _hashed(rewrite.rewrite_pages(_served(spark, d), i.resource_map(spark, d), i.ROOT, OUT))
+
+
 def x_link_set(spark, d):
     return links.link_set(i.pages(spark, d), i.ROOT, ["/go/"]).select("page_id", "dst_url")
 
@@ -430,7 +445,7 @@ QUERIES: dict[str, Query] = {
         j_robots_verdict, j_new_sitemaps, j_seed, j_enqueue, j_classify, j_resolve_cached, j_pending_res, j_missing_res,
         j_integrity, a_levels, a_link_counts, a_frontier_counts, a_sitemap_counts, a_manifest, a_collisions,
         a_collision_members, a_canon_dups, a_canon_forms, a_mark_visited, a_next_batch, a_next_batch_large, a_schedule, a_retry, a_report,
-        r_links, r_static, r_styles, r_css, r_pages, s_mirror, s_state, t_links, t_frontier, t_state, t_rewrite,
+        r_links, r_static, r_styles, r_css, r_pages, r_typed_pages, x_typed_link_set, s_mirror, s_state, t_links, t_frontier, t_state, t_rewrite,
         internal_link_targets,
     )
 }

@@ -454,6 +454,16 @@ def oracles() -> dict[str, str]:
     o["r_static"] = _rewrite_query(False, True, False)
     o["r_styles"] = _rewrite_query(False, False, True)
     o["r_pages"] = o["t_rewrite"] = _rewrite_query(True, True, True)
+    served = f"contains(lower({i.CONTENT_TYPE}), 'text/html')"
+    o["r_typed_pages"] = (
+        f"with {_rewritten(True, True, True)} select f.page_id, f.local_path, "
+        f"case when {served.replace('page_id', 'f.page_id')} then md5(f.html) else md5(a.html) end as html_md5 "
+        "from final f join aug a on a.page_id = f.page_id"
+    )
+    o["x_typed_link_set"] = (
+        f"with {_link_set(' and not contains(dst_url, ' + chr(39) + '/go/' + chr(39) + ')')} select page_id, dst_url from targets "
+        f"where page_id in (select page_id from pages where {served})"
+    )
     o["r_css"] = (
         f"with {_RESOURCES} select url, 'out/' || regexp_replace(url, '^https?://', '') as local_path, "
         "replace(replace(content, 'url(\"/img/i1.png\")', 'url(\"../img/i1.png\")'), 'url(/img/i11.png)', 'url(../img/i11.png)') as content "

@@ -154,3 +154,18 @@ def test_two_state_writers_get_two_versions(spark, tmp_path):
     assert sorted(got) == [1, 2, 3, 4] == state.state_versions(spark, path)
     urls = {state.read_state(spark, path, v).url_state.first().url for v in got}
     assert urls == {f"http://h/{k}" for k in range(4)}
+
+
+def test_pages_not_served_as_html_give_no_links_and_keep_their_bytes(spark):
+    from pagewright.operators import links
+    from pagewright.operators.rewrite import rewrite_pages
+
+    html = '<a href="/b">b</a><img src="/i.png">'
+    pages = spark.createDataFrame(
+        [(1, "http://h.com/a", html, "image/png"), (2, "http://h.com/c", html, "Text/HTML; charset=utf-8"), (3, "http://h.com/d", html, None)],
+        "page_id long, url string, html string, content_type string",
+    )
+    assert {r.page_id for r in links.extract_links(pages).collect()} == {2}
+    assert {r.page_id for r in links.link_set(pages, "h.com").collect()} == {2}
+    done = {r.page_id: r.html for r in rewrite_pages(pages, None, "h.com", "out").collect()}
+    assert done[1] == done[3] == html and done[2] != html

@@ -30,4 +30,4 @@ def test_run_leaves_no_exact_and_few_near_copies(spark, sf_dir):
 
 
 def test_each_operator_has_a_query():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]

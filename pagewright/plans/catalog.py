@@ -420,6 +420,19 @@ def t_state(spark, d):
     return state.read_changes(spark, folder).select("url", "status", "outcome")
 
 
+def t_state_typed(spark, d):
+    """Captures with type and status: failed, empty and non-HTML ones are
+    visited with their outcome and add no links."""
+    folder = work_dir(spark, "t-state-typed")
+    body = F.expr(i.BODY.replace(" html ", f" {i.AUGMENTED} "))
+    typed = stream_pages(spark, f"{d}/pages*.parquet").select(
+        "page_id", "url", body.alias("html"), F.expr(i.CONTENT_TYPE).alias("content_type"), F.expr(i.STATUS).alias("status_code")
+    )
+    query = jobs.stream_state(typed, folder, f"{folder}/checkpoint", i.ROOT, at=AT)
+    query.awaitTermination()
+    return state.read_changes(spark, folder).select("url", "status", "outcome")
+
+
 def t_rewrite(spark, d):
     folder = work_dir(spark, "t-rewrite")
     query = jobs.stream_rewrite(
@@ -445,7 +458,7 @@ QUERIES: dict[str, Query] = {
         j_robots_verdict, j_new_sitemaps, j_seed, j_enqueue, j_classify, j_resolve_cached, j_pending_res, j_missing_res,
         j_integrity, a_levels, a_link_counts, a_frontier_counts, a_sitemap_counts, a_manifest, a_collisions,
         a_collision_members, a_canon_dups, a_canon_forms, a_mark_visited, a_next_batch, a_next_batch_large, a_schedule, a_retry, a_report,
-        r_links, r_static, r_styles, r_css, r_pages, r_typed_pages, x_typed_link_set, s_mirror, s_state, t_links, t_frontier, t_state, t_rewrite,
+        r_links, r_static, r_styles, r_css, r_pages, r_typed_pages, x_typed_link_set, s_mirror, s_state, t_links, t_frontier, t_state, t_state_typed, t_rewrite,
         internal_link_targets,
     )
 }

@@ -98,6 +98,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # One SQL text for both engines: the content type and body each page is served with.
 CONTENT_TYPE = "case page_id % 5 when 0 then 'image/png' when 1 then 'Text/HTML; charset=utf-8' else 'text/html' end"
 BODY = "case page_id % 11 when 3 then '' else html end"
+STATUS = "case page_id % 13 when 7 then 503 else 200 end"
 
 
 def typed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

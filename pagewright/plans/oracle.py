@@ -481,4 +481,16 @@ def oracles() -> dict[str, str]:
         "select url, 'visited' as status, 'saved' as outcome from u union all "
         "select distinct dst_url, 'pending', null from targets where dst_url not in (select url from u)"
     )
+    outcome = (
+        f"case when {i.STATUS} >= 400 then 'failed' when page_id % 11 = 3 then 'empty' "
+        f"when not contains(lower({i.CONTENT_TYPE}), 'text/html') then 'non_html' else 'saved' end"
+    )
+    o["t_state_typed"] = (
+        f"with {_link_set()}, {_PAGES}, seen as (select canonical as url, {outcome} as outcome from own "
+        f"union all select url, {outcome} from pages)"
+        ", v as (select url, max(outcome) as outcome from seen group by url)"
+        f", ok as (select page_id from pages where {i.STATUS} < 400 and page_id % 11 <> 3 and contains(lower({i.CONTENT_TYPE}), 'text/html')) "
+        "select url, 'visited' as status, outcome from v union all "
+        "select distinct dst_url, 'pending', null from targets where page_id in (select page_id from ok) and dst_url not in (select url from v)"
+    )
     return o

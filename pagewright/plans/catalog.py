@@ -216,13 +216,18 @@ def j_resolve_cached(spark, d):
 
 
 def j_pending_res(spark, d):
+    """Assets of pages (static and style references) and of style sheets."""
     return manifest.pending_resources(
-        links.static_refs(i.pages(spark, d)), links.css_refs(i.resources(spark, d)), i.resource_map(spark, d), i.ROOT
+        links.asset_refs(i.pages(spark, d)), links.css_refs(i.resources(spark, d)), i.resource_map(spark, d), i.ROOT
     )
 
 
 def j_missing_res(spark, d):
-    return manifest.missing_resources(links.static_refs(i.pages(spark, d)), i.resources(spark, d))
+    """References of pages (static and style) and of style sheets to assets not captured."""
+    refs = links.asset_refs(i.pages(spark, d)).select("dst_url").unionByName(
+        links.css_refs(i.resources(spark, d)).select("dst_url")
+    )
+    return manifest.missing_resources(refs, i.resources(spark, d))
 
 
 def j_integrity(spark, d):
@@ -263,7 +268,7 @@ def a_sitemap_counts(spark, d):
 
 
 def a_manifest(spark, d):
-    return manifest.resource_manifest(links.static_refs(i.pages(spark, d)), OUT)
+    return manifest.resource_manifest(links.asset_refs(i.pages(spark, d)), OUT)
 
 
 def _raw_forms(spark, d):

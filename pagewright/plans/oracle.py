@@ -93,6 +93,15 @@ def _static() -> str:
     )
 
 
+def _assets() -> str:
+    """Static and style references of pages, as ``asset_refs``."""
+    parts = [*_STATIC.values(), _KINDS["style_attr"], _KINDS["style_block"]]
+    return (
+        f"{_TOK}, arefs as ({' union all '.join(parts)})"
+        f", assets as (select distinct page_id, url, kind, raw, {_absolute()} as dst_url from arefs)"
+    )
+
+
 def _host(url: str) -> str:
     return f"regexp_extract({url}, '^[a-z]+://([^/?#]*)', 1)"
 
@@ -363,13 +372,16 @@ def oracles() -> dict[str, str]:
     o["j_resolve_cached"] = (
         f"with {_static()}, {_RMAP} select s.page_id, s.dst_url, m.local_path from statics s left join rmap m on m.url = s.dst_url"
     )
+    _css = "css as (select url, unnest(['../f/a.woff', '/img/i1.png', '/img/i11.png']) as raw from resources where path like '%.css')"
     o["j_pending_res"] = (
-        f"with {_static()}, {_RMAP}, {_RESOURCES}, css as (select url, unnest(['../f/a.woff', '/img/i1.png', '/img/i11.png']) as raw from resources where path like '%.css')"
-        f", wanted as (select dst_url as url from statics where {inside} union select {_absolute()} from css) "
+        f"with {_assets()}, {_RMAP}, {_RESOURCES}, {_css}"
+        f", wanted as (select dst_url as url from assets where {inside} union select {_absolute()} from css) "
         "select url from wanted where url not in (select url from rmap)"
     )
     o["j_missing_res"] = (
-        f"with {_static()}, {_RMAP} select dst_url as url, count(*) as n_refs from statics where dst_url not in (select url from rmap) group by dst_url"
+        f"with {_assets()}, {_RMAP}, {_RESOURCES}, {_css}"
+        f", refs as (select dst_url as url from assets union all select {_absolute()} from css) "
+        "select url, count(*) as n_refs from refs where url not in (select url from rmap) group by url"
     )
     o["j_integrity"] = (
         f"with {_rewritten(True, True, True)}"
@@ -410,7 +422,7 @@ def oracles() -> dict[str, str]:
         "select dst_url, count(*) as n_pages from t group by dst_url"
     )
     o["a_frontier_counts"] = f"with {_STATE_ROWS} select status, count(*) as n from state group by status"
-    o["a_manifest"] = f"with {_static()}, u as (select distinct dst_url as url from statics) select url, {_local('url')} as local_path from u"
+    o["a_manifest"] = f"with {_assets()}, u as (select distinct dst_url as url from assets) select url, {_local('url')} as local_path from u"
     o["a_collisions"] = f"with {_FORMS} select local_path, n_urls, first_url, last_url from clash"
     o["a_collision_members"] = f"with {_FORMS} select local_path, url from paths where local_path in (select local_path from clash)"
     o["a_canon_dups"] = f"with {_FORMS} select canonical, n_forms, first_form, last_form from dups"

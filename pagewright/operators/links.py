@@ -29,9 +29,14 @@ def tokenize(pages: DataFrame) -> DataFrame:
 
 def html_pages(pages: DataFrame) -> DataFrame:
     """The pages whose links are read: all of them, or, where ``pages`` says
-    what it holds in ``content_type``, those served as HTML (a missing type is
-    not HTML)."""
-    return pages.where(is_html("content_type")) if "content_type" in pages.columns else pages
+    what it holds in ``content_type``, those served as HTML; a missing type
+    counts as HTML, as it does for the outcome of a capture."""
+    return pages.where(served_as_html()) if "content_type" in pages.columns else pages
+
+
+def served_as_html(column: str = "content_type") -> Column:
+    """True unless the content type names something other than HTML."""
+    return F.coalesce(is_html(column), F.lit(True))
 
 
 def extract_links(pages: DataFrame, kinds: Sequence[str] = LINK_KINDS) -> DataFrame:

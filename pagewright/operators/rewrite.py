@@ -22,7 +22,7 @@ from ..functions.rewriting import (
     sheet_pieces_sql,
 )
 from ..sources.workdir import bucketed
-from .links import css_resources, is_html
+from .links import css_resources, served_as_html
 from .lookup import lookup
 
 
@@ -59,11 +59,12 @@ def rewrite_pages(
 
     ``page_id`` identifies a page.  With ``resource_map=None``, or assets
     switched off, there is no shuffle at all.  Where ``pages`` has a
-    ``content_type``, pages not served as HTML keep their bytes as they are.
+    ``content_type``, pages served as something other than HTML keep their
+    bytes as they are (a missing type counts as HTML).
     """
     if "content_type" in pages.columns:
-        served = pages.where(is_html("content_type"))
-        kept = pages.where(~F.coalesce(is_html("content_type"), F.lit(False)))
+        served = pages.where(served_as_html())
+        kept = pages.where(~served_as_html())
         placed = local_path(root_dir, "url").alias("local_path")
         done = rewrite_pages(served.drop("content_type"), resource_map, root, root_dir, mode, links, rewrite_static, rewrite_styles)
         return done.unionByName(kept.select("page_id", "url", placed, "html"))

@@ -8,9 +8,11 @@ a linear hinge-loss model fitted by dual coordinate descent.  A logistic curve
 fitted on training rows that the model did not see turns margins into scores.
 
 Counting and scoring are passes over the texts in tasks; what they send on is
-one sparse vector of counts per task.  The fit takes a bounded sample: at most
-``sample`` labelled rows in the order of a hash of their text, ``features``
-features each, chosen by the same hash; scoring uses every feature of a text.
+one sparse vector of counts per task.  The fit takes a bounded sample: the
+first ``sample`` + ``curve`` labelled rows in the order of a hash of their text
+and doc_id (ties by label), each with all its features, as long as their
+features together stay within ``HELD``; the driver holds them as views of one
+Arrow array.  Scoring uses every feature of a text.
 
 Defined cases: null or blank text has the shape features alone and is scored
 like any other; a row with several labels counts once each; without labels of
@@ -28,8 +30,9 @@ from .common import LOWER, NOT_SPACE, WORD_BYTES, Buffer, materialize, mix, ngra
 from .quality_rules import DIGIT, MARKS, UPPER, duplicate_lines, repeated_words, text_sums
 from .suffixes import pack, unpack
 
-#: Hash buckets of features; rows and features per row in the fit; rows that fit the curve.
-BUCKETS, SAMPLE, FEATURES, CURVE = 1 << 18, 12_000, 2_000, 4_000
+#: Hash buckets of features; rows in the fit; rows that fit the curve; features the
+#: driver holds at most for both (rows are taken whole, in sample order, until it is reached).
+BUCKETS, SAMPLE, CURVE, HELD = 1 << 18, 12_000, 4_000, 8_000_000
 #: Smoothing of counts, penalty of the hinge loss, passes of dual coordinate descent.
 ALPHA, PENALTY, PASSES = 1.0, 1.0, 12
 THRESHOLD = 0.3
@@ -172,12 +175,13 @@ class Model:
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, turn, text) of the training rows, in no order; ``turn`` is a hash
-    of the text.  Texts travel compressed."""
+    of the text and the doc_id, so copies of a text do not enter a sample
+    together.  Texts travel compressed."""
     marks = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label"))
     known = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     packed = per_text(
         docs.where(known), lambda: lambda texts: [[pack(t) for t in texts]], [("packed", "binary")],
-        ["doc_id", F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("turn")],
+        ["doc_id", F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")), "doc_id").alias("turn")],
     )
 
     def restore(batches):
@@ -189,9 +193,12 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.mapInArrow(restore, "label int, turn bigint, text string")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, curve: int = CURVE, most: int = FEATURES) -> Model:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, curve: int = CURVE, held: int = HELD) -> Model:
     """Learn from all labelled rows of ``docs`` (doc_id, text) and ``labels``
-    (doc_id, quality) that are not held out."""
+    (doc_id, quality) that are not held out: class counts of every feature
+    from all of them; the hinge fit and the curve from the first ``sample`` +
+    ``curve`` rows by ``turn`` (ties by label), taken whole while their
+    features stay within ``held``."""
     rows = materialize(labelled(docs, labels), "labelled")
     counts = rows.select("text", "label").mapInArrow(_count_features, "feature bigint, low bigint, high bigint")
     # one row per bucket at most
@@ -206,21 +213,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, curve:
     ratios = np.log(chance[1] / chance[0])
     ratios[number.sum(axis=0) == 0] = 0.0
 
-    def sparse(texts: list[bytes]):
+    def whole(texts: list[bytes]):
         row, column = features(texts)
-        out = []
-        for part in np.split(column, np.searchsorted(row, np.arange(1, len(texts)))):
-            if len(part) > most:
-                rest = part[part >= SHAPES * STEPS]
-                pick = np.argsort(mix(rest.astype(np.uint64)))[:most - SHAPES]
-                part = np.concatenate((part[part < SHAPES * STEPS], np.sort(rest[pick])))
-            out.append(part.astype(np.int32))
-        return [out]
-
-    taken = rows.orderBy("turn").limit(sample + curve)
-    got = per_text(taken, lambda: sparse, [("features", "array<int>")], ["label", "turn"]).orderBy("turn").toArrow()
+        return [np.split(column.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts))))]
+
+    taken = materialize(
+        per_text(rows.orderBy("turn", "label").limit(sample + curve), lambda: whole, [("features", "array<int>")], ["label", "turn"]),
+        "quality-sample",
+    )
+    sizes = taken.select("turn", "label", F.size("features").alias("n")).orderBy("turn", "label").toPandas()
+    within = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), held, side="right"))
+    last = sizes.iloc[within - 1] if within else None
+    if last is None:
+        return Model(np.zeros(BUCKETS), ratios, 0.0, 1.0, 0.0)
+    upto = (F.col("turn") < int(last["turn"])) | ((F.col("turn") == int(last["turn"])) & (F.col("label") <= int(last["label"])))
+    got = taken.where(upto).orderBy("turn", "label").toArrow()
     label = got.column("label").to_numpy().astype(np.int64)
-    lists = [np.asarray(x, dtype=np.int64) for x in got.column("features").to_pylist()]
+    # the lists as views of one array: offsets and values, no Python integers
+    column = got.column("features").combine_chunks()
+    values = column.values.to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()
+    lists = np.split(values, offsets[1:-1] - offsets[0]) if len(column) else []
     # a quarter fits the curve where there are fewer rows than asked for
     cut = min(sample, max(1, len(lists) * 3 // 4))
     weights, bias = fit_hinge(lists[:cut], label[:cut], ratios)

@@ -173,24 +173,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -30, 30)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(label, turn, text) of the training rows, in no order; ``turn`` is a hash
-    of the text and the doc_id, so copies of a text do not enter a sample
-    together.  Texts travel compressed."""
+def labelled_packed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, turn, packed) of the training rows, in no order; ``turn`` is a
+    hash of the text and the doc_id, so copies of a text do not enter a sample
+    together.  Texts are compressed before they travel."""
     marks = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label"))
     known = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     packed = per_text(
         docs.where(known), lambda: lambda texts: [[pack(t) for t in texts]], [("packed", "binary")],
         ["doc_id", F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")), "doc_id").alias("turn")],
     )
+    return packed.join(marks.where(known), "doc_id").select("label", "turn", "packed")
+
+
+def restored(packed: DataFrame) -> DataFrame:
+    """(label, turn, text) of (label, turn, packed) rows."""
 
     def restore(batches):
         for batch in batches:
             texts = [unpack(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary()).cast(pa.string())], names=["label", "turn", "text"])
 
-    joined = packed.join(marks.where(known), "doc_id").select("label", "turn", "packed")
-    return joined.mapInArrow(restore, "label int, turn bigint, text string")
+    return packed.select("label", "turn", "packed").mapInArrow(restore, "label int, turn bigint, text string")
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, turn, text) of the training rows, in no order."""
+    return restored(labelled_packed(docs, labels))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, curve: int = CURVE, held: int = HELD) -> Model:
@@ -199,7 +208,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, curve:
     from all of them; the hinge fit and the curve from the first ``sample`` +
     ``curve`` rows by ``turn`` (ties by label), taken whole while their
     features stay within ``held``."""
-    rows = materialize(labelled(docs, labels), "labelled")
+    # the training rows stay compressed on disk
+    packed = materialize(labelled_packed(docs, labels), "labelled")
+    rows = restored(packed)
     counts = rows.select("text", "label").mapInArrow(_count_features, "feature bigint, low bigint, high bigint")
     # one row per bucket at most
     table = counts.groupBy("feature").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).toPandas()
@@ -217,10 +228,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, curve:
         row, column = features(texts)
         return [np.split(column.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts))))]
 
-    taken = materialize(
-        per_text(rows.orderBy("turn", "label").limit(sample + curve), lambda: whole, [("features", "array<int>")], ["label", "turn"]),
-        "quality-sample",
-    )
+    # the order picks keys alone; only the texts of the chosen keys are read again
+    keys = packed.select("turn", "label").orderBy("turn", "label").limit(sample + curve)
+    chosen = restored(packed.join(F.broadcast(keys), ["turn", "label"], "left_semi"))  # sample + curve rows at most
+    taken = materialize(per_text(chosen, lambda: whole, [("features", "array<int>")], ["label", "turn"]), "quality-sample")
     sizes = taken.select("turn", "label", F.size("features").alias("n")).orderBy("turn", "label").toPandas()
     within = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), held, side="right"))
     last = sizes.iloc[within - 1] if within else None

@@ -10,13 +10,15 @@ UTF-8 bytewise) make the root the same way.
 
 Layout.  Nodes are addressed by their postorder position, which follows in
 closed form from the subtree sizes of a tree of n leaves in aligned runs of 8
-(``postorder``); the log table holds (key, pos, level, idx, hash) and is
-written in completion order, so a reader appends and a prover addresses the
-siblings of a node by position.  Aligned builders: each level is built by
-groups of 8 aligned siblings, one group per parent, so a hot lang spreads over
-n / 8 groups and no group holds more than 8 rows.  Proofs run top-down: the
-path of a node (siblings left and right of it, level by level up to the root)
-is its parent's path, found at the parent's position, after its own.
+(``postorder``); the log table holds (key, pos, level, idx, hash), the tree of
+subroots under a key of its own, and is written in completion order before
+anything is proved.  Aligned builders: each level is built by groups of 8
+aligned siblings, one group per parent, so a hot lang spreads over n / 8 groups
+and no group holds more than 8 rows.  Proofs read the log only, by position, and
+run top-down: the path of a node (siblings left and right of it, level by level
+up to the root) is its parent's path, found at the parent's position, after its
+own.  Paths of leaves are never written: each run of 8 leaves meets its parent's
+path once, where all its rows are proved and folded, altered or not.
 
 Defined cases: null doc_id sorts first within its lang; rows with equal
 doc_id are ordered by their leaf hash (equal rows are equal leaves, each a
@@ -28,6 +30,8 @@ original siblings.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +41,11 @@ from .common import ascii_lower, materialize
 
 FANOUT = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+#: Key of the tree of subroots in the log.
+UPPER = -1
+PROVED = (
+    "doc_id {id}, key int, idx long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
+)
 
 
 def field(column: Column) -> Column:
@@ -118,121 +127,149 @@ def _groups(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _parents(groups: DataFrame) -> DataFrame:
+    return groups.select("key", F.col("parent").alias("idx"), F.sha2(F.array_join("m.hash", ""), 256).alias("hash"))
+
+
 def _tree(nodes: DataFrame, tops: dict[int, int], label: str) -> list[DataFrame]:
-    """Written groups of every level, bottom-up, for keys whose tree is taller."""
-    out, level = [], 0
-    while any(t > level for t in tops.values()):
+    """Nodes (key, idx, hash) of every level, bottom-up; those above the leaves are written."""
+    out = [nodes]
+    for level in range(max(tops.values(), default=0)):
         taller = [k for k, t in tops.items() if t > level]
-        groups = materialize(_groups(nodes.where(F.col("key").isin(taller))), f"{label}-{level}")
-        out.append(groups)
-        nodes = groups.select("key", F.col("parent").alias("idx"), F.sha2(F.array_join("m.hash", ""), 256).alias("hash"))
-        level += 1
+        out.append(materialize(_parents(_groups(out[-1].where(F.col("key").isin(taller)))), f"{label}-{level}"))
     return out
 
 
-def _sides(groups: DataFrame) -> DataFrame:
-    """(key, idx, l, r): the hashes left and right of each member in its run."""
-    g = groups.select("key", "m", F.posexplode("m").alias("o", "e"))
-    return g.select(
-        "key", F.col("e.idx").alias("idx"),
-        F.array_join(F.slice(F.col("m.hash"), F.lit(1), F.col("o")), "").alias("l"),
-        F.array_join(F.slice(F.col("m.hash"), F.col("o") + 2, F.lit(FANOUT)), "").alias("r"),
-    )
+def _each(values: dict[int, int]) -> Column:
+    """The value of a row's key."""
+    return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast("long"))]), F.col("key"))
 
 
-def _paths(groups: list[DataFrame], tops: dict[int, int], tail: DataFrame, label: str) -> DataFrame:
-    """(key, idx, path) of every node below the top: its sides, then its
-    parent's path, found at the parent's address; ``tail`` (key, path) is the
-    path of each key's top node.  Keys whose tree is a lone leaf get their tail."""
-    path = None
-    for level in range(len(groups) - 1, -1, -1):
-        topped = [k for k, t in tops.items() if t == level + 1]
-        start = tail.where(F.col("key").isin(topped)).select("key", F.lit(0).cast("long").alias("idx"), "path")
-        above = start if path is None else path.unionByName(start)
-        sides = _sides(groups[level]).withColumn("parent", (F.col("idx") / FANOUT).cast("long"))
-        now = sides.join(above.withColumnRenamed("idx", "parent"), ["key", "parent"], "left").select(
-            "key", "idx", F.concat(F.array(F.struct("l", "r")), F.coalesce("path", _empty())).alias("path")
-        )
-        path = materialize(now, f"{label}-path-{level}")
-    lone = tail.where(F.col("key").isin([k for k, t in tops.items() if t == 0])).select("key", F.lit(0).cast("long").alias("idx"), "path")
-    return lone if path is None else path.unionByName(lone)
-
-
-def _empty() -> Column:
-    return F.array().cast("array<struct<l:string,r:string>>")
-
-
-def _top_nodes(nodes: DataFrame, groups: list[DataFrame], tops: dict[int, int]) -> DataFrame:
-    """(key, hash) of each key's top node."""
-    out = nodes.where(F.col("key").isin([k for k, t in tops.items() if t == 0])).select("key", "hash")
-    for level, g in enumerate(groups):
-        done = [k for k, t in tops.items() if t == level + 1]
-        out = out.unionByName(g.where(F.col("key").isin(done)).select("key", F.sha2(F.array_join("m.hash", ""), 256).alias("hash")))
-    return out
+def _address(df: DataFrame, name: str, level: Column, idx: Column, sizes: dict[int, int]) -> DataFrame:
+    """``df`` and the postorder position ``name`` of each row's node (level, idx)."""
+    tops = {k: levels_of(n) for k, n in sizes.items()}
+    placed = df.withColumn("__top", _each(tops)).withColumn("__n", _each(sizes))
+    return placed.withColumn(name, postorder(level, idx, F.col("__n"), max(tops.values()))).drop("__top", "__n")
 
 
-def manifest(docs: DataFrame, tamper: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(leaves, log): per row doc_id, key, leaf, subroot, root, proof_sha256,
-    folded_root, verified; and the postorder log (key, level, idx, pos, hash)."""
-    spark = docs.sparkSession
+def _entries(levels: list[DataFrame], sizes: dict[int, int]) -> DataFrame:
+    """Log rows of the nodes of all levels, each at its closed-form position."""
+    rows = [n.select("key", F.lit(level).alias("level"), "idx", "hash") for level, n in enumerate(levels)]
+    placed = _address(reduce(DataFrame.unionByName, rows), "pos", F.col("level"), F.col("idx"), sizes)
+    return placed.select("key", "level", "idx", "pos", "hash")
+
+
+def _in_order(log: DataFrame) -> DataFrame:
+    """Completion order: by key, then postorder position."""
+    return log.repartitionByRange("key", "pos").sortWithinPartitions("key", "pos")
+
+
+def write_log(log: DataFrame, path: str) -> None:
+    """The append log in completion order: by key, then postorder position."""
+    _in_order(log).write.mode("overwrite").parquet(path)
+
+
+def _runs(log: DataFrame, level: int, sizes: dict[int, int]) -> DataFrame:
+    """Logged nodes of one level by the position of their parent: (key, above,
+    members in order), for keys whose tree is taller."""
+    taller = [k for k, n in sizes.items() if levels_of(n) > level]
+    nodes = log.where((F.col("level") == level) & F.col("key").isin(taller))
+    placed = _address(nodes, "above", F.lit(level + 1), F.floor(F.col("idx") / FANOUT), sizes)
+    return placed.groupBy("key", "above").agg(F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("m"))
+
+
+def _sides(pos: Column) -> Column:
+    """The hashes left and right of the member of run ``m`` at ``pos``."""
+    side = lambda keep: F.array_join(F.transform(F.filter("m", keep), lambda e: e.hash), "")
+    return F.struct(side(lambda e: e.pos < pos).alias("l"), side(lambda e: e.pos > pos).alias("r"))
+
+
+def _paths(log: DataFrame, sizes: dict[int, int], tail: DataFrame, lowest: int, label: str) -> DataFrame:
+    """(key, pos, path) of the logged nodes of level ``lowest``, top-down: the
+    path of a key's top node is its ``tail`` (key, path); any other's is its own
+    sides, then its parent's path, found at the parent's position."""
+    path = None
+    for level in range(max(map(levels_of, sizes.values())), lowest - 1, -1):
+        topped = [k for k, n in sizes.items() if levels_of(n) == level]
+        now = log.where((F.col("level") == level) & F.col("key").isin(topped)).select("key", "pos").join(F.broadcast(tail), "key")
+        if path is not None:
+            above = path.withColumnRenamed("pos", "above")
+            runs = _runs(log, level, sizes).join(above, ["key", "above"]).select("*", F.explode("m.pos").alias("pos"))
+            now = now.unionByName(runs.select("key", "pos", F.concat(F.array(_sides(F.col("pos"))), F.col("path")).alias("path")))
+        path = materialize(now.select("key", "pos", "path"), f"{label}-path-{level}")
+    return path if path is not None else tail.limit(0).select("key", F.lit(0).cast("long").alias("pos"), "path")
+
+
+def append_log(docs: DataFrame, tamper: Column | None = None) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """(leaves, log, sizes): per row key, doc_id, idx, leaf and the altered leaf
+    (null if not to be altered); the written postorder log (key, level, idx, pos,
+    hash) of every lang's tree and, under key ``UPPER``, of the tree of subroots;
+    and the number of leaves per key of the log."""
     cols = {c: F.col(c) for c in FIELDS}
-    text = cols["text"]
-    altered = F.when(tamper, ascii_lower(text)).otherwise(text) if tamper is not None else text
+    altered = F.lit(None).cast("string") if tamper is None else F.when(
+        tamper, leaf_hash(cols["doc_id"], cols["source"], cols["lang"], cols["n_chars"], ascii_lower(cols["text"]))
+    )
     base = docs.select(
-        cols["doc_id"].alias("doc_id"), cols["lang"].alias("lang"),
-        leaf_hash(*cols.values()).alias("leaf"),
-        leaf_hash(cols["doc_id"], cols["source"], cols["lang"], cols["n_chars"], altered).alias("tleaf"),
+        cols["doc_id"].alias("doc_id"), cols["lang"].alias("lang"), leaf_hash(*cols.values()).alias("leaf"), altered.alias("tleaf")
     )
-    langs = [r.lang for r in base.select("lang").distinct().collect()]  # one row per lang
+    langs = [r.lang for r in docs.select("lang").distinct().collect()]  # one row per lang
     langs.sort(key=lambda v: (v is not None, (v or "").encode("utf-8")))
     key_of = {v: k for k, v in enumerate(langs)}
     named = {k: v for v, k in key_of.items() if v is not None}
     lookup = F.create_map(*[x for k, v in named.items() for x in (F.lit(v), F.lit(k))]) if named else None
     key = F.lit(0) if lookup is None else F.when(F.col("lang").isNull(), F.lit(key_of.get(None, -1))).otherwise(F.element_at(lookup, F.col("lang")))
     leaves = _ranks(base.withColumn("key", key.cast("int")).select("key", "doc_id", "leaf", "tleaf"))
-    leaves = materialize(leaves, "merkle-ranked")
     sizes = {r.key: r["count"] for r in leaves.groupBy("key").count().collect()}
+    if not sizes:
+        return leaves, docs.sparkSession.createDataFrame([], "key int, level int, idx long, pos long, hash string"), {}
     tops = {k: levels_of(n) for k, n in sizes.items()}
-    nodes = leaves.select("key", "idx", F.col("leaf").alias("hash"))
-    groups = _tree(nodes, tops, "merkle-level")
-    subs = materialize(_top_nodes(nodes, groups, tops).withColumnRenamed("hash", "subroot"), "merkle-subroots")  # one row per lang
+    levels = _tree(leaves.select("key", "idx", F.col("leaf").alias("hash")), tops, "merkle-level")
     # the tree of subroots: one key, its leaves ordered by lang key
-    upper_nodes = subs.select(F.lit(0).alias("key"), F.col("key").cast("long").alias("idx"), F.col("subroot").alias("hash"))
-    upper_top = {0: levels_of(len(sizes))} if sizes else {}
-    upper = _tree(upper_nodes, upper_top, "merkle-upper")
-    found = _top_nodes(upper_nodes, upper, upper_top).collect()
-    root = found[0].hash if found else None
-    top_tail = spark.createDataFrame([(0, [])], "key int, path array<struct<l:string,r:string>>")
-    tail = _paths(upper, upper_top, top_tail, "merkle-upper").select(F.col("idx").cast("int").alias("key"), "path")
-    tail = materialize(tail, "merkle-tail")  # one row per lang
-    paths = _paths(groups, tops, tail, "merkle-level")
-    path = F.coalesce("path", _empty())
-    result = leaves.join(paths, ["key", "idx"], "left").join(F.broadcast(subs), ["key"], "left").select(
+    subroots = reduce(DataFrame.unionByName, [
+        nodes.where(F.col("key").isin([k for k, t in tops.items() if t == level])) for level, nodes in enumerate(levels)
+    ])
+    subroots = materialize(subroots.select(F.lit(UPPER).alias("key"), F.col("key").cast("long").alias("idx"), "hash"), "merkle-subroots")
+    upper = _tree(subroots, {UPPER: levels_of(len(sizes))}, "merkle-upper")
+    log = _entries(levels, sizes).unionByName(_entries(upper, {UPPER: len(sizes)}))
+    return leaves, materialize(_in_order(log), "merkle-log"), {**sizes, UPPER: len(sizes)}
+
+
+def prove(leaves: DataFrame, log: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """Per row of ``leaves``: doc_id, key, idx, leaf, subroot, root, proof_sha256,
+    folded_root and verified, all other digests read from the log by position.
+    Every row is folded, altered or not."""
+    upper = {UPPER: sizes[UPPER]}
+    sizes = {k: n for k, n in sizes.items() if k != UPPER}
+    root = log.where((F.col("key") == UPPER) & (F.col("level") == levels_of(upper[UPPER]))).first().hash
+    empty = log.sparkSession.createDataFrame([(UPPER, [])], "key int, path array<struct<l:string,r:string>>")
+    tail = _paths(log, upper, empty, 0, "merkle-upper")
+    # the place of a lang among the subroots is its key
+    places = log.where((F.col("key") == UPPER) & (F.col("level") == 0)).select(F.col("idx").cast("int").alias("lang"), "pos")
+    tail = materialize(tail.join(F.broadcast(places), "pos").select(F.col("lang").alias("key"), "path"), "merkle-tail")  # one row per lang
+    above = _paths(log, sizes, tail, 1, "merkle-level").withColumnRenamed("pos", "above")
+    runs = _runs(log, 0, sizes).join(above, ["key", "above"])
+    placed = _address(leaves, "pos", F.lit(0), F.col("idx"), sizes)
+    lone = [k for k, n in sizes.items() if n == 1]
+    below = _address(placed.where(~F.col("key").isin(lone)), "above", F.lit(1), F.floor(F.col("idx") / FANOUT), sizes)
+    paths = below.join(runs, ["key", "above"]).select(*placed.columns, F.concat(F.array(_sides(F.col("pos"))), F.col("path")).alias("path"))
+    paths = paths.unionByName(placed.where(F.col("key").isin(lone)).join(F.broadcast(tail), "key").select(*paths.columns))
+    subroots = log.where((F.col("key") != UPPER) & (F.col("level") == _each({k: levels_of(n) for k, n in sizes.items()})))
+    found = paths.join(F.broadcast(subroots.select("key", F.col("hash").alias("subroot"))), "key")
+    return found.select(
         "doc_id", "key", "idx", "leaf", "subroot", F.lit(root).alias("root"),
-        F.sha2(F.array_join(F.transform(path, lambda s: F.concat(s.l, s.r)), ""), 256).alias("proof_sha256"),
-        F.when(F.col("tleaf") == F.col("leaf"), F.lit(root)).otherwise(
-            F.aggregate(path, F.col("tleaf"), lambda acc, s: F.sha2(F.concat(s.l, acc, s.r), 256))
-        ).alias("folded_root"),
+        F.sha2(F.array_join(F.transform("path", lambda s: F.concat(s.l, s.r)), ""), 256).alias("proof_sha256"),
+        F.aggregate("path", F.coalesce("tleaf", "leaf"), lambda acc, s: F.sha2(F.concat(s.l, acc, s.r), 256)).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
-    # the postorder log: every node with its closed-form position
-    top_max = max([*tops.values(), 0])
-    size_map = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(n))])
-    top_map = F.create_map(*[x for k, t in tops.items() for x in (F.lit(k), F.lit(t))])
-    levels = [nodes.select("key", F.lit(0).alias("level"), "idx", "hash")]
-    for level, g in enumerate(groups):
-        levels.append(g.select("key", F.lit(level + 1).alias("level"), F.col("parent").alias("idx"), F.sha2(F.array_join("m.hash", ""), 256).alias("hash")))
-    log = levels[0]
-    for part in levels[1:]:
-        log = log.unionByName(part)
-    log = log.withColumn("__top", F.element_at(top_map, F.col("key"))).select(
-        "key", "level", "idx", postorder(F.col("level"), F.col("idx"), F.element_at(size_map, F.col("key")), top_max), "hash"
-    ) if sizes else log.withColumn("pos", F.lit(0).cast("long"))
-    return result, log
 
 
-def write_log(log: DataFrame, path: str) -> None:
-    """The append log in completion order: by key, then postorder position."""
-    log.repartitionByRange("key", "pos").sortWithinPartitions("key", "pos").write.mode("overwrite").parquet(path)
+def manifest(docs: DataFrame, tamper: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(leaves, log): per row doc_id, key, idx, leaf, subroot, root, proof_sha256,
+    folded_root, verified, proved from the log; and the postorder log (key, level,
+    idx, pos, hash)."""
+    leaves, log, sizes = append_log(docs, tamper)
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], PROVED.format(id=docs.schema["doc_id"].dataType.simpleString())), log
+    return prove(leaves, log, sizes), log
 
 
 def tampered(doc_id: Column) -> Column:

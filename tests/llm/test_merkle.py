@@ -3,7 +3,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from pagewright.llm.merkle import manifest, tampered
+from pagewright.llm.merkle import UPPER, append_log, manifest, prove, tampered
 
 from .conftest import edge_rows
 
@@ -101,3 +101,17 @@ def test_manifest_edges(spark):
     got = manifest(spark.createDataFrame(one, schema), tampered(F.col("doc_id")))[0].collect()
     x = leaf(*one[0])
     assert [(r.leaf, r.subroot, r.root, r.proof_sha256) for r in got] == [(x, x, x, h(""))]
+
+
+def test_proofs_come_from_the_log_and_every_row_is_folded(spark):
+    rows = [(i, "s", "en" if i < 90 else "de", 4, "text") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    leaves, log, sizes = append_log(docs)
+    assert all(r.verified for r in prove(leaves, log, sizes).collect())
+    # the log holds the tree of subroots too, and a forged digest at one position
+    # reaches every untampered row that has it as a sibling, and no other
+    assert log.where(F.col("key") == UPPER).count() == 3
+    hit = (F.col("key") == 1) & (F.col("level") == 1) & (F.col("idx") == 2)
+    forged = log.withColumn("hash", F.when(hit, h("forged")).otherwise(F.col("hash")))
+    got = prove(leaves, forged, sizes).collect()
+    assert {r.doc_id for r in got if not r.verified} == {i for i in range(64) if i // 8 != 2}

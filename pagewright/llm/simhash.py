@@ -13,8 +13,11 @@ whatever the size of the corpus.
 
 Only links that join two parts of a run are kept (a spanning forest), so large
 groups of copies cost as many rows as members.  Where links are checked for
-similarity and some of a group fail, its members are searched again for all
-pairs whose parts are not yet joined, so that a failed link hides no other.
+similarity and some of a group fail, its members are searched again: runs then
+hold the shingles too, every pair within reach whose parts are not yet joined is
+checked on the spot, and only links that are alike and join two parts leave the
+run.  So a failed link hides no other, and a group costs no more rows than it
+has members per run.
 
 Defined cases: null or blank text has fingerprint zero and links like any
 other; repeated rows share their fingerprint; a null doc_id is kept and takes
@@ -28,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.lookup import lookup
@@ -37,6 +40,8 @@ from .common import components, materialize, per_text
 BITS, SEED = 64, 42
 #: Members of a node, and pairs of nodes compared in one numpy pass.
 FANOUT, PAIRS = 16, 8192
+#: Bits of a set's sketch, and pairs of sets compared before those joined meanwhile are left out.
+SKETCH, CHECKED = 1024, 256
 
 
 def fingerprint(text: bytes, n: int = 3) -> int:
@@ -163,6 +168,43 @@ class Apart(Forest):
         self.pairs.append((a[apart], b[apart]))
 
 
+class Alike(Forest):
+    """Union of given parts by those links only whose members' sets have a
+    Jaccard similarity of at least ``similarity``."""
+
+    def __init__(self, parts: np.ndarray, sets: list[np.ndarray], similarity: float) -> None:
+        super().__init__(len(parts))
+        _, first, part = np.unique(parts, return_index=True, return_inverse=True)
+        self.root = first[part]
+        self.sets, self.similarity = sets, similarity
+        self.sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        self.sketches = np.empty((len(sets), SKETCH // 64), dtype=np.uint64)
+        for k, members in enumerate(sets):
+            bits = np.zeros(SKETCH, dtype=bool)
+            bits[members.view(np.uint64) % np.uint64(SKETCH)] = True
+            self.sketches[k] = np.packbits(bits).view(np.uint64)
+
+    def enough(self, both, a, b):
+        return both >= self.similarity * (self.sizes[a] + self.sizes[b] - both)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = self.root[a] != self.root[b]
+        a, b = a[apart], b[apart]
+        # a bit of one sketch alone is at least one member of that set alone: no alike pair is lost
+        x, y = self.sketches[a], self.sketches[b]
+        only_a, only_b = (np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (x & ~y, y & ~x))
+        may = self.enough(np.minimum(self.sizes[a] - only_a, self.sizes[b] - only_b), a, b)
+        a, b = a[may], b[may]
+        while len(a):
+            x, y = a[:CHECKED], b[:CHECKED]
+            both = np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(x, y)])
+            good = self.enough(both, x, y)
+            super().join(x[good], y[good])
+            a, b = a[CHECKED:], b[CHECKED:]
+            apart = self.root[a] != self.root[b]
+            a, b = a[apart], b[apart]
+
+
 def _hierarchy(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per level from members to few nodes: the mask of shared bits and the
     pattern on it."""
@@ -202,6 +244,15 @@ def open_pairs(codes: np.ndarray, parts: np.ndarray, radius: int) -> tuple[np.nd
     return keys // len(codes), keys % len(codes)
 
 
+def alike_in_run(codes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of one run (codes in Gray order) between different ``parts`` at
+    distance ``radius`` or less whose sets are alike, enough to join all parts
+    that such links join."""
+    forest = Alike(parts, sets, similarity)
+    _link_within(codes, _hierarchy(codes), forest, radius)
+    return forest.links
+
+
 def _link_within(codes: np.ndarray, levels: list, forest: Forest, radius: int) -> None:
     n = len(codes)
     # neighbours in rank first: most groups are one part after this
@@ -293,34 +344,42 @@ def near_links(fps: DataFrame, radius: int = 2, blocks: int = 8, reach: int | No
     )
 
 
-def _search_open(radius: int):
-    """Pairs of each run that lie in different parts; a group of rows is one run."""
+def _search_alike(radius: int, similarity: float):
+    """Alike links that join parts; a group of rows is one group's share of a run."""
 
     def search(rows: pa.Table) -> pa.Table:
-        fps = rows.column("fp").to_numpy().view(np.uint64)
+        rows = rows.combine_chunks()
         order = np.argsort(rows.column("rank").to_numpy().view(np.uint64))
-        fps, parts = fps[order], rows.column("part").to_numpy()[order]
-        a, b = open_pairs(fps, parts, radius) if len(fps) > 1 else ([], [])
-        u, v = fps[a].view(np.int64) if len(a) else [], fps[b].view(np.int64) if len(b) else []
-        return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+        fps, parts = (rows.column(c).to_numpy()[order] for c in ("fp", "part"))
+        members = rows.column("members").combine_chunks()
+        sets = [members[int(k)].values.to_numpy() for k in order]
+        links = alike_in_run(fps.view(np.uint64), parts, sets, radius, similarity) if len(fps) > 1 else []
+        u, v = fps[np.array(links, dtype=np.int64).reshape(-1, 2)].T
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return search
 
 
-def missed_links(links: DataFrame, good: DataFrame, radius: int, blocks: int, reach: int | None) -> DataFrame:
-    """Pairs (u, v) within reach that ``links`` left out because a link that
-    proved not ``good`` had joined their groups already."""
+def missed_links(
+    links: DataFrame, good: DataFrame, sets: DataFrame, radius: int, blocks: int, reach: int | None, similarity: float
+) -> DataFrame:
+    """Alike links (u, v) within reach that ``links`` left out because a link that
+    proved not ``good`` had joined their groups already: enough of them to join
+    all parts that such links join."""
     groups = components(links)
     parts = components(good).withColumnRenamed("root", "part")
     rows = groups.join(parts, "node", "left").select("node", "root", F.coalesce("part", "node").alias("part"))
     rows = materialize(rows, "parts")
     # only groups that fell apart can have lost a link
     broken = rows.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("root")
-    rows = materialize(lookup(rows, broken, "root", "inner").select(F.col("node").alias("fp"), "part"), "broken")
+    rows = materialize(lookup(rows, broken, "root", "inner").select(F.col("node").alias("fp"), "root", "part"), "broken")
     entries = rows.select("fp").mapInArrow(_entries(blocks, radius), "arrangement int, run bigint, rank bigint, fp bigint")
-    found = lookup(entries, rows, "fp", "inner").groupBy("arrangement", "run").applyInArrow(_search_open(reach or radius), "u bigint, v bigint")
-    known = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return found.distinct().join(known, ["u", "v"], "left_anti")
+    # all within reach in one run are in one group; a run that holds one part of it has nothing to join
+    run = Window.partitionBy("arrangement", "run", "root")
+    shared = lookup(entries, rows, "fp", "inner").withColumns({"low": F.min("part").over(run), "high": F.max("part").over(run)})
+    shared = shared.where("low <> high").drop("low", "high")
+    search = _search_alike(reach or radius, similarity)
+    return lookup(shared, sets, "fp", "inner").groupBy("arrangement", "run", "root").applyInArrow(search, "u bigint, v bigint").distinct()
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
@@ -343,14 +402,18 @@ def _alike(similarity: float):
     return run
 
 
-def alike_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Of ``links``, those whose fingerprints' first documents have a Jaccard
-    similarity of shingles of at least ``similarity``."""
+def shingle_sets(links: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(fp, members) of the fingerprints of ``links``: the shingles of each one's first document."""
     ends = links.select(F.col("u").alias("fp")).unionByName(links.select(F.col("v").alias("fp"))).distinct()
     firsts = nodes.join(ends, "fp", "left_semi").select("fp", F.col("least").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(firsts, "doc_id").dropDuplicates(["fp"])
     make = lambda: lambda texts: [[shingle_set(t, n) for t in texts]]
-    sets = materialize(per_text(texts, make, [("members", "array<bigint>")], ["fp"]), "shingles")
+    return materialize(per_text(texts, make, [("members", "array<bigint>")], ["fp"]), "shingles")
+
+
+def alike_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of ``links``, those whose fingerprints' sets have a Jaccard similarity of
+    at least ``similarity``."""
     for end in ("u", "v"):
         links = lookup(links, sets.select(F.col("fp").alias(end), F.col("members").alias(f"of_{end}")), end, "inner")
     return links.select("u", "v", "of_u", "of_v").mapInArrow(_alike(similarity), "u bigint, v bigint")
@@ -367,9 +430,9 @@ def near_components(
     links = near_links(nodes, radius, blocks, reach)
     if similarity is not None:
         links = materialize(links.distinct(), "links")
-        good = materialize(alike_links(links, nodes, docs, n, similarity), "alike")
-        more = materialize(missed_links(links, good, radius, blocks, reach), "missed")
-        links = good.unionByName(alike_links(more, nodes, docs, n, similarity))
+        sets = shingle_sets(links, nodes, docs, n)
+        good = materialize(alike_links(links, sets, similarity), "alike")
+        links = good.unionByName(materialize(missed_links(links, good, sets, radius, blocks, reach, similarity), "missed"))
     parts = components(links).withColumnRenamed("node", "fp")
     rooted = nodes.join(parts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from pagewright.llm.common import components
-from pagewright.llm.simhash import NEAR, arrange, arrangements, drop_near_copies, fingerprint, gray_rank, link_run, near_components, open_pairs, shingle_set
+from pagewright.llm.simhash import NEAR, alike_in_run, arrange, arrangements, drop_near_copies, fingerprint, gray_rank, link_run, near_components, open_pairs, shingle_set
 from pagewright.llm.suffixes import drop_repeats, remove_repeats
 
 from .conftest import edge_rows, prose
@@ -160,3 +160,27 @@ def test_a_failed_link_hides_no_other(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_components(docs, **NEAR).collect()}
     assert len(pairs) > 50 and [p for p in pairs if got[p[0]] != got[p[1]]] == []
+
+
+def test_a_broken_run_gives_a_forest_of_alike_links():
+    rows = variants(groups=3, members=60)
+    fps, first = np.unique(np.array([fingerprint(t.encode(), 5) for _, t in rows], dtype=np.uint64), return_index=True)
+    order = np.argsort(gray_rank(fps))
+    codes, sets = fps[order], [shingle_set(rows[k][1].encode(), 5) for k in first[order]]
+    parts = np.arange(len(codes))
+    parts[1::7] = parts[0]  # joined already
+    near = list(zip(*open_pairs(codes, parts, 10)))
+    alike = [(a, b) for a, b in near if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    assert len(near) > 2 * len(alike) > 2 * len(codes)
+
+    def classes(links):
+        root = parts.tolist()
+        for a, b in links:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+        return root
+
+    got = alike_in_run(codes, parts, sets, 10, 0.8)
+    assert {(min(p), max(p)) for p in got} <= set(alike)
+    assert classes(got) == classes(alike)
+    assert len(got) == len(set(parts.tolist())) - len(set(classes(alike)))  # no link is in vain

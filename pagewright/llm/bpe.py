@@ -2,11 +2,12 @@
 
 The vocabulary file gives normalisation (NFC, white space, lower case), the
 pattern of words, byte symbols and ranked merges; its place is a parameter.
-A word is a contiguous array: the boundaries of its parts and the rank of each
-adjacent pair.  The least rank is found by a scan, its boundary deleted and the
+A word is a contiguous array: the boundaries of its parts, their numbers and the
+rank of each adjacent pair.  The least rank is found by a scan, its boundary deleted and the
 two neighbouring ranks refreshed.  That is fastest for short words; a word of
 more than ``LONG`` bytes goes through a heap of pairs with the same result, so
-time stays near linear.  Each task keeps the words it has met.
+time stays near linear.  No word holds a space, so a text is first cut at spaces,
+and each task keeps the ids of the pieces and of the words it has met.
 
 Defined cases: null text is empty and has no tokens; special strings of the
 vocabulary found in a text become their ids, as in the file's own library;
@@ -20,6 +21,8 @@ import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Callable
+from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
@@ -28,8 +31,8 @@ from .common import per_text
 
 #: Words beyond which the pair ranks are kept in a heap.
 LONG = 256
-#: Words a task remembers before it starts anew.
-REMEMBER = 200_000
+#: Words, and pieces between spaces, a task remembers before it starts anew.
+REMEMBER = 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -45,6 +48,21 @@ def byte_symbols() -> list[str]:
     return out
 
 
+class Remembered(dict):
+    """Ids by string, made on first sight; strings over ``LONG`` are made each time."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]]) -> None:
+        self.make = make
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        made = self.make(key)
+        if len(key) <= LONG:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[key] = made
+        return made
+
+
 class WordBpe:
     """Encoder of one vocabulary file."""
 
@@ -61,7 +79,14 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.symbols = byte_symbols()
-        self.seen: dict[str, tuple[int, str, str]] = {}
+        # a number for every string a part can be, so that a pair is one number
+        strings = [*self.symbols, *(s + self.end for s in self.symbols), *(x for a, b in self.ranks for x in (a, b, a + b))]
+        self.code = {x: k for k, x in enumerate(dict.fromkeys(strings))}
+        self.pair_rank = {self.code[a] << 32 | self.code[b]: rank for (a, b), rank in self.ranks.items()}
+        self.merged = {rank: self.code[a + b] for (a, b), rank in self.ranks.items()}
+        self.none = len(model["merges"])
+        self.decimal = {i: str(i) for i in self.names}
+        self.words, self.pieces = Remembered(self._word), Remembered(self._piece)
 
     def merge(self, word: str) -> list[str]:
         """Parts of a word of byte symbols."""
@@ -70,23 +95,20 @@ class WordBpe:
         if n > LONG:
             return self._merge_long(whole, n)
         cuts = [*range(n), len(whole)]
-        get = self.ranks.get
-        none = len(self.ranks)
-
-        def rank(k: int) -> int:
-            return get((whole[cuts[k]:cuts[k + 1]], whole[cuts[k + 1]:cuts[k + 2]]), none)
-
-        ranks = [rank(k) for k in range(n - 1)]
+        get, none = self.pair_rank.get, self.none
+        codes = [*map(self.code.__getitem__, word[:-1]), self.code[whole[n - 1:]]]
+        ranks = [get(a << 32 | b, none) for a, b in zip(codes, codes[1:])]
         while ranks:
             least = min(ranks)
             if least == none:
                 break
             k = ranks.index(least)
-            del cuts[k + 1], ranks[k]
+            del cuts[k + 1], codes[k + 1], ranks[k]
+            codes[k] = here = self.merged[least]
             if k < len(ranks):
-                ranks[k] = rank(k)
+                ranks[k] = get(here << 32 | codes[k + 1], none)
             if k:
-                ranks[k - 1] = rank(k - 1)
+                ranks[k - 1] = get(codes[k - 1] << 32 | here, none)
         return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _merge_long(self, whole: str, n: int) -> list[str]:
@@ -118,17 +140,12 @@ class WordBpe:
             offer(a)
         return [whole[a:end[a]] for a in range(n) if alive[a]]
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Number of tokens, decimal ids and names of one word."""
-        held = self.seen.get(word)
-        if held is None:
-            symbols = self.symbols
-            parts = [p for p in self.merge("".join([symbols[b] for b in word.encode()])) if p in self.ids]
-            held = len(parts), " ".join([str(self.ids[p]) for p in parts]), " ".join(parts)
-            if len(self.seen) >= REMEMBER:
-                self.seen.clear()
-            self.seen[word] = held
-        return held
+    def _word(self, word: str) -> tuple[int, ...]:
+        symbols, ids = self.symbols, self.ids
+        return tuple([ids[p] for p in self.merge("".join([symbols[b] for b in word.encode()])) if p in ids])
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.words.__getitem__, self.find(piece))))
 
     def normal(self, text: str) -> str:
         """NFC and lower case, character by character; white space only separates words."""
@@ -137,26 +154,31 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
+    def encode_ids(self, text: str) -> list[int]:
+        """Ids of a text."""
+        ids: list[int] = []
+        held = self.pieces.__getitem__
+        parts = self.cut_special.split(text) if any(s in text for s in self.special) else [text]
+        for k, part in enumerate(parts):
+            if k % 2:
+                ids.append(self.special[part])
+            else:
+                ids.extend(chain.from_iterable(map(held, self.normal(part).split(" "))))
+        return ids
+
+    def digits(self, ids: list[int]) -> str:
+        """Ids in decimal, joined by spaces."""
+        return " ".join(map(self.decimal.__getitem__, ids))
+
     def encode(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, ids in decimal and names, both joined by spaces."""
-        count, ids, names = 0, [], []
-        for k, piece in enumerate(self.cut_special.split(text)):
-            if k % 2:
-                count += 1
-                ids.append(str(self.special[piece]))
-                names.append(piece)
-                continue
-            word = self.word
-            for n, i, t in map(word, self.find(self.normal(piece))):
-                if n:
-                    count += n
-                    ids.append(i)
-                    names.append(t)
-        return count, " ".join(ids), " ".join(names)
+        ids = self.encode_ids(text)
+        return len(ids), self.digits(ids), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         """Names of ids, special ones included, joined by spaces; other ids have none."""
-        return " ".join([self.names[i] for i in ids if i in self.names])
+        names = list(map(self.names.get, ids))
+        return " ".join([n for n in names if n is not None] if None in names else names)
 
 
 _HELD: dict[str, WordBpe] = {}
@@ -176,9 +198,8 @@ def encode_texts(docs: DataFrame, path: str, keep=("doc_id",)) -> DataFrame:
         bpe = word_bpe(path)
 
         def compute(texts: list[bytes]):
-            rows = [bpe.encode(t.decode()) for t in texts]
-            ids = [[int(x) for x in r[1].split()] for r in rows]
-            return [[r[0] for r in rows], ids, [bpe.decode(x) for x in ids]]
+            ids = [bpe.encode_ids(t.decode()) for t in texts]
+            return [list(map(len, ids)), ids, list(map(bpe.decode, ids))]
 
         return compute
 
@@ -187,9 +208,8 @@ def encode_texts(docs: DataFrame, path: str, keep=("doc_id",)) -> DataFrame:
 
 def row_digests(bpe: WordBpe, text: str) -> tuple[int, str, str]:
     """Number of tokens, digest of the ids and digest of what the ids decode to."""
-    count, ids, _ = bpe.encode(text)
-    decoded = bpe.decode([int(x) for x in ids.split()])
-    return count, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    ids = bpe.encode_ids(text)
+    return tuple([len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (bpe.digits(ids), bpe.decode(ids)))])
 
 
 def encode_digests(docs: DataFrame, path: str, keep=("doc_id",)) -> DataFrame:

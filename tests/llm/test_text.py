@@ -206,3 +206,20 @@ def test_decoded_digest_comes_from_the_ids(vocab):
     bpe.names[ids[-1]] = "other"
     want = " ".join([*(bpe.names[i] for i in ids[:-1]), "other"])
     assert row_digests(bpe, "one two three")[2] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_pieces_between_spaces_are_cut_once_and_encode_as_the_library_does(vocab):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = vocab("word_bpe_49k.json")
+    library, bpe = tokenizers.Tokenizer.from_file(path), WordBpe(path)
+    calls, find = [], bpe.find
+    bpe.find = lambda piece: calls.append(piece) or find(piece)
+    odd = [chr(c) for c in (*range(0x21), 0x85, 0xA0, 0x200B, 0x2028, 0x3000, 0xFEFF)]
+    texts = ["It's the dog's, they'LL go", " a  b\n\nc\td ", "x" * 700 + "'s 's '", "<|endoftext|>a b<|startoftext|> <|endoftext|", *(f"one{c}'s{c}{c}2two {c} é{c}" for c in odd)]
+    for text in [*texts, *texts]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert bpe.encode_ids(text) == ids
+        assert bpe.encode(text)[:2] == (len(ids), " ".join(map(str, ids)))
+        assert bpe.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    short = [c for c in calls if len(c) <= 256]
+    assert len(short) == len(set(short)) and not any(" " in c for c in calls)

@@ -183,7 +183,8 @@ def labelled_packed(docs: DataFrame, labels: DataFrame) -> DataFrame:
         docs.where(known), lambda: lambda texts: [[pack(t) for t in texts]], [("packed", "binary")],
         ["doc_id", F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")), "doc_id").alias("turn")],
     )
-    return packed.join(marks.where(known), "doc_id").select("label", "turn", "packed")
+    # labels grow with the documents: both sides are dealt by id at every size, never broadcast
+    return packed.join(marks.where(known).hint("merge"), "doc_id").select("label", "turn", "packed")
 
 
 def restored(packed: DataFrame) -> DataFrame:

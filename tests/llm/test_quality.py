@@ -81,3 +81,14 @@ def test_scores_of_odd_rows_and_without_labels(spark, edge_docs, no_docs):
     scores = quality_scores(edge_docs, some)
     assert scores.where(F.col("score").between(0, 1)).count() == len(edge_rows())
     assert quality_scores(no_docs, some).count() == 0
+
+
+def test_labels_are_never_broadcast(spark, sf_dir):
+    from pagewright.llm.quality_model import labelled_packed
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    got = labelled_packed(docs, labels)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    known = {r.doc_id for r in docs.collect() if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    assert got.count() == sum(r.doc_id in known and r.quality in (0, 1) for r in labels.collect()) > 0

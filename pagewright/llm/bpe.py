@@ -21,7 +21,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from itertools import chain
 
 import regex
@@ -49,15 +49,15 @@ def byte_symbols() -> list[str]:
 
 
 class Remembered(dict):
-    """Ids by string, made on first sight; strings over ``LONG`` are made each time."""
+    """Ids by string, made on first sight; strings over ``longest`` are made each time."""
 
-    def __init__(self, make: Callable[[str], tuple[int, ...]]) -> None:
-        self.make = make
+    def __init__(self, make: Callable[[str], Sequence[int]], most: int = REMEMBER, longest: int = LONG) -> None:
+        self.make, self.most, self.longest = make, most, longest
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> Sequence[int]:
         made = self.make(key)
-        if len(key) <= LONG:
-            if len(self) >= REMEMBER:
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = made
         return made

@@ -20,9 +20,10 @@ equal ids follow each other in no set order; null ids come first.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +34,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.workdir import work_dir
-from .bpe import byte_symbols
+from .bpe import Remembered, byte_symbols
 from .common import materialize, text_slices
 
 END_ID = 2
-#: Pieces a task remembers before it starts anew.
-REMEMBER = 600_000
+#: Words and pieces a task remembers before it starts anew, and the longest of them.
+WORDS, PIECES_HELD, LONGEST = 500_000, 100_000, 64
 #: Cuts text into pieces as byte-level vocabularies do; a fixed value.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class PieceEncoder(dict):
-    """The tokenizers library's ids, remembered per piece of text: most pieces
-    of a corpus have been met before, and the library takes most of its time to
-    cut texts and to keep offsets nobody asks for."""
+#: White space that ends most texts.
+BLANKS = " \t\r\n"
+#: A lone space inside text always starts a piece, and what follows it is cut alike anywhere.
+LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+
+
+class NotLone(Exception):
+    """The space before or after a word has more white space beside it."""
+
+
+class PieceEncoder:
+    """The tokenizers library's ids, remembered per word between spaces and per
+    piece of text: most of a corpus has been met before, and the library takes
+    most of its time to cut texts and to keep offsets nobody asks for."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -61,21 +72,48 @@ class PieceEncoder(dict):
         #: Ids are kept as they are stored, 2 or 4 bytes each, and joined as bytes.
         self.width = 2 if self.size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-
-    def __missing__(self, piece: str) -> bytes:
-        symbols = self.symbols
-        ids = [t.id for t in self.merge("".join([symbols[b] for b in piece.encode()]))]
-        self[piece] = stored = np.array(ids, dtype=self.kind).tobytes()
-        return stored
+        self.unit = [n.to_bytes(self.width, "little") for n in range(self.size)]
+        self.symbol_of = dict(enumerate(self.symbols))
+        self.words = Remembered(self._word, WORDS, LONGEST)
+        self.pieces = Remembered(self._piece, PIECES_HELD, LONGEST)
+
+    def _merged(self, symbols: str) -> bytes:
+        unit = self.unit
+        return b"".join([unit[t.id] for t in self.merge(symbols)])
+
+    def _piece(self, piece: str) -> bytes:
+        return self._merged(piece.encode().decode("latin-1").translate(self.symbol_of))
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word and the lone space before it."""
+        if word.isalpha():
+            return self._merged(self.symbols[0x20] + word) if word.isascii() else self._piece(" " + word)
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise NotLone
+        if word[-1] in ",.;:!?" and word[:-1].isalpha():
+            return self.words[word[:-1]] + self.pieces[word[-1]]
+        return self._cut(" " + word)
+
+    def _cut(self, text: str) -> bytes:
+        """Ids of a text, cut into its pieces."""
+        words, pieces = self.words, self.pieces
+        return b"".join([words[p[1:]] if p[0] == " " and p[1:].isalpha() else pieces[p] for p in self.find(text)])
 
     def stored(self, text: str) -> bytes:
         """Ids of a text as they are stored."""
         for special in self.special:
             if special in text:
                 return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        if len(self) > REMEMBER:
-            self.clear()
-        return b"".join([self[p] for p in self.find(text)])
+        body = text.rstrip(BLANKS)
+        first, *words = body.split(" ")
+        if not first[-1:].isspace() and not body[-1:].isspace():
+            try:
+                return b"".join([self._cut(first), *map(self.words.__getitem__, words), self._cut(text[len(body):])])
+            except NotLone:
+                pass
+        first, *words = LONE_SPACE.split(text)
+        last = " " + words.pop() if words else ""
+        return b"".join([self._cut(first), *map(self.words.__getitem__, words), self._cut(last)])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.stored(text), dtype=self.kind).tolist()
@@ -176,39 +214,48 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None) ->
     return materialize(shards, "manifest").withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+def _read_batch(keys: list, starts: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), lists], names=["doc_id", "start", "ids"])
+
+
 def _read_shards(batches):
-    names = ["doc_id", "start", "ids"]
     for batch in batches:
         for shard in batch.to_pylist():
             store, place = _open(shard["file"])
             kind = np.dtype(f"<u{shard['width']}")
-            with store.open_input_stream(f"{place}.idx") as file:
-                index = np.frombuffer(file.readall(), dtype="<u8").reshape(-1, 2)
-            if len(index) != shard["n_docs"]:
-                raise ValueError("index and manifest differ")
-            keys, starts, ids, size = [], [], [], 0
-            with store.open_input_stream(f"{place}.rec", buffer_size=1 << 20) as file:
-                for n, payload in enumerate(records(file)):
+            keys, starts, ids, docs, size = [], [], [], 0, 0
+            with (
+                store.open_input_stream(f"{place}.idx", buffer_size=1 << 16) as index,
+                store.open_input_stream(f"{place}.rec", buffer_size=1 << 20) as file,
+            ):
+                for payload in records(file):
                     null, key = struct.unpack_from("<Bq", payload)
                     keys.append(None if null else key)
-                    starts.append(shard["start"] + int(index[n, 1]))
+                    starts.append(shard["start"] + struct.unpack("<QQ", _take(index, 16))[1])
                     ids.append(np.frombuffer(payload, dtype=kind, offset=9))
+                    docs += 1
                     size += len(ids[-1])
                     if size > 1 << 18:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=names
-                        )
+                        yield _read_batch(keys, starts, ids)
                         keys, starts, ids, size = [], [], [], 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=names
-            )
-
-
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of every record of the manifest's shards."""
+                if docs != shard["n_docs"] or index.read(1):
+                    raise ValueError("shard, index and manifest differ")
+            if keys:
+                yield _read_batch(keys, starts, ids)
+
+
+def read_token_files(
+    manifest: DataFrame,
+    derive: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None,
+    schema: str = "doc_id bigint, start bigint, ids array<int>",
+) -> DataFrame:
+    """(doc_id, start, ids) of every record of the manifest's shards, or what
+    ``derive`` makes of these batches, with its schema, in the task that reads."""
     # each shard is one row: one task per few shards
     spread = manifest.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4), "shard")
-    return spread.mapInArrow(_read_shards, "doc_id bigint, start bigint, ids array<int>")
+    return spread.mapInArrow((lambda batches: derive(_read_shards(batches))) if derive else _read_shards, schema)
 
 
 def record_at(shard: str, number: int) -> bytes:
@@ -226,7 +273,7 @@ def _checksums(batches):
         lists = batch.column(2)
         ends = lists.offsets.to_numpy()
         values = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-        crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
+        crcs = [zlib.crc32(values[a:b]) for a, b in zip(ends, ends[1:])]
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:2], pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())],
             names=["doc_id", "start", "n_tokens", "ids_crc32"],
@@ -234,6 +281,7 @@ def _checksums(batches):
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Write, read back and report doc_id, start, n_tokens and ids_crc32."""
-    rows = read_token_files(write_token_files(docs, path))
-    return rows.mapInArrow(_checksums, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    """Write, read back and report doc_id, start, n_tokens and ids_crc32; the
+    lists read back never leave their task."""
+    manifest = write_token_files(docs, path)
+    return read_token_files(manifest, _checksums, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
 import struct
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagewright.llm.bpe import WordBpe, encode_digests, encode_texts, row_digests
@@ -12,7 +14,9 @@ from pagewright.llm.chat import chat_digests, escape, escape_role, unescape, une
 from pagewright.llm.decontaminate import drop_leaks, find_leaks, weighted_jaccard
 from pagewright.llm.licenses import PASSAGES, PHRASES, WORD, license_scan
 from pagewright.llm.main_text import extract_pages, main_text
-from pagewright.llm.token_files import frame, masked, read_token_files, record_at, records, token_digests, write_token_files
+from pagewright.llm.token_files import (
+    PieceEncoder, _read_shards, frame, masked, read_token_files, record_at, records, token_digests, write_token_files,
+)
 
 from .conftest import edge_rows, prose
 
@@ -139,6 +143,42 @@ def test_shards_are_indexed_and_checked(edge_docs, vocab, tmp_path):
     assert read_token_files(manifest).count() == 1
 
 
+def test_ids_read_back_stay_in_their_task(edge_docs, vocab):
+    plan = token_digests(edge_docs, vocab("byte_bpe_50k.json"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ids#" not in plan
+
+
+def test_words_between_spaces_encode_as_the_library_does(vocab):
+    path = vocab("byte_bpe_50k.json")
+    encoder = PieceEncoder(path)
+    rng = random.Random(5)
+    parts = [*"    aéßʰ1٣½ª,.!'-_\x00\x1c\x85\xa0\u0301\u200b\u3000😀", "  ", "\n", "\t", "\r\n", " \n", "word", "The", "日本", "'s", "'ll", "<|endoftext|>"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert encoder.encode(text) == encoder.whole.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_long_strings_are_encoded_and_not_remembered(vocab):
+    encoder = PieceEncoder(vocab("byte_bpe_50k.json"))
+    for text in ("x" * 50_000, "say " + "ab1" * 9_000, "-" * 30_000 + " end", "a b" + "\n" * 20_000, "日本" * 9_000):
+        assert encoder.encode(text) == encoder.whole.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*encoder.words, *encoder.pieces])) <= 64
+
+
+def test_shards_that_differ_from_their_index_are_refused(edge_docs, vocab, tmp_path):
+    manifest = write_token_files(edge_docs.where("doc_id in (4, 5)").coalesce(1), vocab("byte_bpe_50k.json"), f"file://{tmp_path}")
+    rows = [r.asDict() for r in manifest.collect()]
+    batch = pa.RecordBatch.from_pylist(rows)
+    assert sum(b.num_rows for b in _read_shards([batch])) == 2
+    place = rows[0]["file"].removeprefix("file://") + ".idx"
+    whole = open(place, "rb").read()
+    for changed in (whole[:-16], whole + whole[-16:]):
+        with open(place, "wb") as file:
+            file.write(changed)
+        with pytest.raises(ValueError):
+            list(_read_shards([batch]))
+
+
 def test_escapes_are_reversible():
     for text in ("<|im_end|>", r"<\|x", r"<\\|", "<<||>", "a\nb", "\\", r"\n", "<|" * 5, ""):
         assert unescape(escape(text)) == text and "<|" not in escape(text)
